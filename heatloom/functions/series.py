@@ -96,14 +96,18 @@ class Series:
     ) -> DataFrame:
         """The previous / following row of the same series as a struct of time and ``cols`` (null at the ends)."""
         row = F.struct(self.time, *cols)
+        # plain columns per slice rather than structs: they aggregate in a hash table, without sorting the rows
+        edge = lambda side: F.struct(*[F.col(f"_{side}{i}").alias(c) for i, c in enumerate([self.time, *cols])])
         per_slice, across, inside = {}, {}, {}
         if previous:
-            per_slice["_last"] = F.max_by(row, self.time)
-            across["_before"] = lambda w: F.lag("_last").over(w)
+            per_slice["_last0"] = F.max(self.time)
+            per_slice |= {f"_last{i}": F.max_by(c, self.time) for i, c in enumerate(cols, 1)}
+            across["_before"] = lambda w: F.lag(edge("last")).over(w)
             inside[previous] = lambda w: F.lag(row).over(w)
         if following:
-            per_slice["_first"] = F.min_by(row, self.time)
-            across["_after"] = lambda w: F.lead("_first").over(w)
+            per_slice["_first0"] = F.min(self.time)
+            per_slice |= {f"_first{i}": F.min_by(c, self.time) for i, c in enumerate(cols, 1)}
+            across["_after"] = lambda w: F.lead(edge("first")).over(w)
             inside[following] = lambda w: F.lead(row).over(w)
         out = self.carry(df, per_slice, across, inside)
         if previous:
@@ -152,18 +156,24 @@ class Series:
 
     def known(self, df: DataFrame, value: Column, before: str | None = None, after: str | None = None) -> DataFrame:
         """Nearest rows strictly before / after a row at which ``value`` is not null, as struct (time, value)."""
+        at = F.when(value.isNotNull(), F.col(self.time))
         seen = F.when(value.isNotNull(), F.struct(F.col(self.time).alias("time"), value.alias("value")))
         per_slice, across, inside = {}, {}, {}
+
+        def edge(side: str) -> Column:
+            pair = F.struct(F.col(f"_{side}0").alias("time"), F.col(f"_{side}1").alias("value"))
+            return F.when(F.col(f"_{side}0").isNotNull(), pair)
+
         if before:
-            per_slice["_last"] = F.max_by(seen, F.when(value.isNotNull(), F.col(self.time)))
-            across["_before"] = lambda w: F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+            per_slice["_last0"], per_slice["_last1"] = F.max(at), F.max_by(value, at)
+            across["_before"] = lambda w: F.last(edge("last"), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
             inside[before] = lambda w: F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
         if after:
-            per_slice["_first"] = F.min_by(seen, F.when(value.isNotNull(), F.col(self.time)))
+            per_slice["_first0"], per_slice["_first1"] = F.min(at), F.min_by(value, at)
             # read backwards, so that the frame only grows from one row to the next
             slices = Window.partitionBy(self.id).orderBy(F.col(SLICE).desc())
             rows = Window.partitionBy(self.id, SLICE).orderBy(F.col(self.time).desc())
-            across["_after"] = lambda w: F.last("_first", True).over(slices.rowsBetween(Window.unboundedPreceding, -1))
+            across["_after"] = lambda w: F.last(edge("first"), True).over(slices.rowsBetween(Window.unboundedPreceding, -1))
             inside[after] = lambda w: F.last(seen, True).over(rows.rowsBetween(Window.unboundedPreceding, -1))
         out = self.carry(df, per_slice, across, inside)
         if before:

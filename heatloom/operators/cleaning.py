@@ -168,20 +168,28 @@ def interpolate_linear(
     """
     row = F.struct(s.time)
     c, t = F.col(counter), F.col(s.time)
+    at = F.when(c.isNotNull(), t)
     seen = F.when(c.isNotNull(), F.struct(t.alias("time"), c.alias("value")))
+
+    def edge(side: str) -> Column:
+        pair = F.struct(F.col(f"{side}t").alias("time"), F.col(f"{side}v").alias("value"))
+        return F.when(F.col(f"{side}t").isNotNull(), pair)
+
     back = Window.partitionBy(s.id, SLICE).orderBy(t.desc()).rowsBetween(Window.unboundedPreceding, -1)
     slices_back = Window.partitionBy(s.id).orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
     past = Window.unboundedPreceding
     rows = s.carry(
         df,
         {
-            "_l": F.max_by(seen, F.when(c.isNotNull(), t)),
-            "_f": F.min_by(seen, F.when(c.isNotNull(), t)),
+            "_lt": F.max(at),
+            "_lv": F.max_by(c, at),
+            "_ft": F.min(at),
+            "_fv": F.min_by(c, at),
             "_lo": F.min(t),
         },
         {
-            "_k0": lambda w: F.last("_l", True).over(w.rowsBetween(past, -1)),
-            "_k1": lambda w: F.last("_f", True).over(slices_back),
+            "_k0": lambda w: F.last(edge("_l"), True).over(w.rowsBetween(past, -1)),
+            "_k1": lambda w: F.last(edge("_f"), True).over(slices_back),
             "_n1": lambda w: F.lead("_lo").over(w),
             "_start": lambda w: F.min("_lo").over(Window.partitionBy(s.id)),
         },
