@@ -44,7 +44,7 @@ def _(v):
 
 
 USER_HOURS = """SELECT CAST(user_id AS VARCHAR) AS id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS datetime,
-    round(sum(value), 2) AS diff, 0.0 AS value, 's' AS source FROM events GROUP BY 1, 2"""
+    round(sum(value), 2) AS diff, CAST(0 AS DOUBLE) AS value, 's' AS source FROM events GROUP BY 1, 2"""
 
 
 def user_hours(v):

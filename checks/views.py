@@ -71,14 +71,14 @@ SQL: dict[str, tuple[list[str], str]] = {
         [],
         """
         SELECT user_id % 25 AS plz, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS datetime,
-          round(avg(value), 4) AS temp, round(100 * avg(value) / (avg(value) + 50), 4) AS rhum
+          avg(value) AS temp, 100 * avg(value) / (avg(value) + 50) AS rhum
         FROM events GROUP BY 1, 2""",
     ),
     "weather_daily": (
         [],
         """
         SELECT user_id % 25 AS plz, CAST(date_trunc('day', ts) AS TIMESTAMP) AS datetime,
-          round(avg(value), 4) AS tavg, min(value) AS tmin, max(value) AS tmax, count(*) AS prcp
+          avg(value) AS tavg, min(value) AS tmin, max(value) AS tmax, count(*) AS prcp
         FROM events GROUP BY 1, 2""",
     ),
     "pred": (
@@ -123,7 +123,7 @@ SQL: dict[str, tuple[list[str], str]] = {
     "oil": (
         [],
         """
-        SELECT CAST(o_orderdate AS TIMESTAMP) AS date, CASE WHEN day(o_orderdate) % 5 <> 4 THEN round(avg(o_totalprice), 2) END AS oil
+        SELECT CAST(o_orderdate AS TIMESTAMP) AS date, CASE WHEN day(o_orderdate) % 5 <> 4 THEN min(o_totalprice) END AS oil
         FROM orders WHERE day(o_orderdate) % 3 <> 0 GROUP BY o_orderdate""",
     ),
     "transactions": (
@@ -143,14 +143,14 @@ SQL: dict[str, tuple[list[str], str]] = {
         [],
         """
         SELECT n_name AS Symbol, CAST(o_orderdate AS TIMESTAMP) AS date,
-          CASE WHEN day(o_orderdate) % 5 = 0 THEN 0.0 ELSE round(avg(o_totalprice) / 1000000, 6) END AS rv5_ss,
+          CASE WHEN day(o_orderdate) % 5 = 0 THEN 0.0 ELSE max(o_totalprice) / 1000000 END AS rv5_ss,
           round(max(o_totalprice) - min(o_totalprice), 2) AS open_to_close
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, o_orderdate""",
     ),
     "quarter_hours": (
         [],
         """
-        SELECT time_bucket(INTERVAL '15 minutes', ts) AS ts, event_type AS id, round(avg(value), 4) AS usage
+        SELECT time_bucket(INTERVAL '15 minutes', ts) AS ts, event_type AS id, avg(value) AS usage
         FROM events GROUP BY 1, 2""",
     ),
     "cells": (
@@ -246,14 +246,14 @@ class Views:
         mean = F.avg("value")
         hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("datetime")
         return self.table("events").groupBy((F.col("user_id") % 25).alias("plz"), hour).agg(
-            F.round(mean, 4).alias("temp"), F.round(100 * mean / (mean + 50), 4).alias("rhum")
+            mean.alias("temp"), (100 * mean / (mean + 50)).alias("rhum")
         )
 
     @cached_property
     def weather_daily(self) -> DataFrame:
         day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("datetime")
         return self.table("events").groupBy((F.col("user_id") % 25).alias("plz"), day).agg(
-            F.round(F.avg("value"), 4).alias("tavg"),
+            F.avg("value").alias("tavg"),
             F.min("value").alias("tmin"),
             F.max("value").alias("tmax"),
             F.count(F.lit(1)).alias("prcp"),
@@ -314,7 +314,7 @@ class Views:
     @cached_property
     def oil(self) -> DataFrame:
         day = F.dayofmonth("o_orderdate")
-        price = F.when(day % 5 != 4, F.round(F.avg("o_totalprice"), 2))
+        price = F.when(day % 5 != 4, F.min("o_totalprice"))
         return (
             self.table("orders").filter(day % 3 != 0).groupBy("o_orderdate").agg(price.alias("oil"))
             .withColumnRenamed("o_orderdate", "date")
@@ -350,7 +350,7 @@ class Views:
         return (
             rows.groupBy(F.col("n_name").alias("Symbol"), F.col("o_orderdate"))
             .agg(
-                F.when(day % 5 == 0, 0.0).otherwise(F.round(F.avg("o_totalprice") / 1000000, 6)).alias("rv5_ss"),
+                F.when(day % 5 == 0, 0.0).otherwise(F.max("o_totalprice") / 1000000).alias("rv5_ss"),
                 F.round(F.max("o_totalprice") - F.min("o_totalprice"), 2).alias("open_to_close"),
             )
             .withColumnRenamed("o_orderdate", "date")
@@ -362,7 +362,7 @@ class Views:
         return (
             self.table("events")
             .groupBy(start.cast("timestamp_ntz").alias("start"), F.col("event_type").alias("id"))
-            .agg(F.round(F.avg("value"), 4).alias("usage"))
+            .agg(F.avg("value").alias("usage"))
             .withColumnRenamed("start", "ts")
         )
 
