@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_sources", "q_joins", "q_profile", "q_cleaning", "q_frames", "q_splits"]
+MODULES = ["q_sources", "q_joins", "q_profile", "q_cleaning", "q_frames", "q_splits", "q_metrics", "q_recipes"]
 
 
 def load():

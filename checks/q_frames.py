@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import query
 from checks.views import D
 from heatloom.operators import frames
-from heatloom.schema import COLUMN_ROLES, Role
+from heatloom.schema import Role
 
 W = "WINDOW w AS (PARTITION BY id ORDER BY datetime)"
 LAGS = """lag(diff, 1) OVER w AS "diff(t-1)", lag(diff, 2) OVER w AS "diff(t-2)", lag(diff, 3) OVER w AS "diff(t-3)",
@@ -203,19 +203,20 @@ ROLES = [
 
 def window_sql(source: str = "readings", total: int = 5, encoder: int = 3) -> str:
     return f"""SELECT b.id, b.datetime AS window_start, s.k - b.k AS step, s.datetime AS time, s.diff AS x0, s.value AS x1,
-      CASE WHEN s.k - b.k >= {encoder} THEN s.diff END AS output, CASE WHEN s.k - b.k >= {encoder} THEN 1.0 END AS active
+      CASE WHEN s.k - b.k >= {encoder} THEN s.diff END AS output, CASE WHEN s.k - b.k >= {encoder} THEN CAST(1 AS DOUBLE) END AS active
     FROM (SELECT id, datetime, row_number() OVER (PARTITION BY id ORDER BY datetime) AS k, count(*) OVER (PARTITION BY id) AS n FROM {source}) b
     JOIN (SELECT id, datetime, diff, value, row_number() OVER (PARTITION BY id ORDER BY datetime) AS k FROM {source}) s
       ON b.id = s.id AND s.k BETWEEN b.k AND b.k + {total - 1} WHERE b.k + {total - 1} <= b.n"""
 
 
-def window_rows(df, encoder: int = 3):
+def window_rows(df, encoder: int = 3, *keep: str):
     rows = df.select(
-        "id", "window_start", F.posexplode(F.arrays_zip("inputs", "time", "identifier")).alias("step", "_r"), "outputs", "active_entries"
+        "id", *keep, "window_start", F.posexplode(F.arrays_zip("inputs", "time", "identifier")).alias("step", "_r"), "outputs", "active_entries"
     )
     later = F.col("step") - encoder
     return rows.select(
         F.col("_r.identifier").alias("id"),
+        *keep,
         "window_start",
         "step",
         F.col("_r.time").alias("time"),
@@ -236,6 +237,12 @@ def _(v):
     return window_rows(frames.sampled_windows(v.readings, ROLES, 5, 3, 200, s=D))
 
 
+@query("sampled_windows_all", window_sql(), "readings", "x0 x1 output active", "step")
+def _(v):
+    """Asked for more windows than there are, the sample is every window."""
+    return window_rows(frames.sampled_windows(v.readings, ROLES, 5, 3, 10**12, s=D))
+
+
 @query(
     "row_index",
     """SELECT id, datetime, row_number() OVER (PARTITION BY id ORDER BY datetime) - 1 AS b_idx,
@@ -244,15 +251,3 @@ def _(v):
 )
 def _(v):
     return frames.row_index(v.readings.select("id", "datetime"), D)
-
-
-@query("column_roles")
-def _(v):
-    """Columns of a declared dataset in model order, selected from matching data."""
-    from heatloom.schema import column_roles
-
-    names = [r.name for r in column_roles(COLUMN_ROLES["volatility"])]
-    from heatloom.plans.recipes import recipe_volatility
-
-    nations = {f"NATION_{i}": "AMER" for i in range(25)}
-    return recipe_volatility(v.volatility, nations).select(*names)

@@ -19,6 +19,10 @@ def readings(v):
     return v.readings.select("id", "datetime", "diff")
 
 
+def dirty(v):
+    return v.dirty.select("id", "datetime", "diff")
+
+
 @query("split_time", "SELECT id, datetime, diff, split FROM split_rows", "split_rows", "diff")
 def _(v):
     return splits.split_time(readings(v), 0.8, D)
@@ -26,23 +30,23 @@ def _(v):
 
 @query(
     "split_discard_short",
-    """SELECT id, datetime, diff, split FROM split_rows WHERE id IN (
-      SELECT id FROM (SELECT id, split, count(*) AS c FROM split_rows GROUP BY 1, 2) GROUP BY id HAVING min(c) > 1 AND count(*) = 3)""",
-    "split_rows",
+    """SELECT id, datetime, diff, split FROM split_dirty WHERE id IN (
+      SELECT id FROM (SELECT id, split, count(*) AS c FROM split_dirty GROUP BY 1, 2) GROUP BY id HAVING min(c) > 1 AND count(*) = 3)""",
+    "split_dirty",
     "diff",
 )
 def _(v):
-    return splits.split_discard_short(readings(v), 1, 0.8, D)
+    return splits.split_discard_short(dirty(v), 1, 0.8, D)
 
 
 @query(
     "discarded_ids",
-    """SELECT DISTINCT id FROM split_rows WHERE id NOT IN (
-      SELECT id FROM (SELECT id, split, count(*) AS c FROM split_rows GROUP BY 1, 2) GROUP BY id HAVING min(c) > 2 AND count(*) = 3)""",
-    "split_rows",
+    """SELECT DISTINCT id FROM split_dirty WHERE id NOT IN (
+      SELECT id FROM (SELECT id, split, count(*) AS c FROM split_dirty GROUP BY 1, 2) GROUP BY id HAVING min(c) > 1 AND count(*) = 3)""",
+    "split_dirty",
 )
 def _(v):
-    return splits.discarded_ids(readings(v), 2, 0.8, D)
+    return splits.discarded_ids(dirty(v), 1, 0.8, D)
 
 
 @query(
@@ -57,9 +61,9 @@ def _(v):
     return splits.train_head_removal(readings(v), 0.3, 0.8, D)
 
 
-def _dated(keep: str = "") -> str:
-    cut, limit = "TIMESTAMP '2024-01-20'", 3
-    train = "floor(t * CAST(0.5 AS DOUBLE))" if keep else "t"
+def _dated(head: bool = False) -> str:
+    cut = "TIMESTAMP '2024-01-20'"
+    train = "floor(t * CAST(0.5 AS DOUBLE))" if head else "t"
     return f"""SELECT id, datetime, diff, split FROM (
       SELECT *, {train} AS kept FROM (
         SELECT *, least(floor(m * CAST(0.9 AS DOUBLE)) + 1, m) AS t,
@@ -68,23 +72,18 @@ def _dated(keep: str = "") -> str:
         FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY datetime) - 1 AS i,
             count(*) FILTER (datetime < {cut}) OVER (PARTITION BY id) AS m,
             count(*) FILTER (datetime > {cut}) OVER (PARTITION BY id) AS a FROM dirty)))
-    WHERE split IS NOT NULL AND (m = 0 OR (kept >= {limit} AND m - t >= {limit - 1})) AND (split <> 'test' OR a > {limit})
+    WHERE split IS NOT NULL AND (m = 0 OR (kept >= 1 AND m - t >= 1)) AND (split <> 'test' OR a > 1)
       AND (split <> 'train' OR i < kept)"""
 
 
-@query("split_date", _dated().replace("m - t >= 2", "m - t >= 3"), "dirty", "diff")
+@query("split_date", _dated(), "dirty", "diff")
 def _(v):
-    return splits.split_date(v.dirty.select("id", "datetime", "diff"), "2024-01-20", 3, D)
+    return splits.split_date(dirty(v), "2024-01-20", 1, D)
 
 
-@query(
-    "split_date_head",
-    _dated("half").replace("m - t >= 2", "m - t >= 1").replace("kept >= 3", "kept >= 1").replace("a > 3", "a > 1"),
-    "dirty",
-    "diff",
-)
+@query("split_date_head", _dated(True), "dirty", "diff")
 def _(v):
-    return splits.split_date(v.dirty.select("id", "datetime", "diff"), "2024-01-20", 1, D, remove_per=0.5)
+    return splits.split_date(dirty(v), "2024-01-20", 1, D, remove_per=0.5)
 
 
 @query(
@@ -108,9 +107,10 @@ def _(v):
     """The lists are made from the ids, written as JSON and read back."""
     k = F.col("user_id") % 4
     ids = v.table("events").select("user_id").distinct()
-    lists = [F.collect_list(F.when(k == i, F.col("user_id").cast("string"))).alias(f"{n}_ids") for i, n in enumerate(("train", "val", "test"))]
+    one = F.array(F.col("user_id").cast("string"))
+    lists = [F.when(k == i, one).alias(f"{n}_ids") for i, n in enumerate(("train", "val", "test"))]
     path = f"{shared_folder(v.spark)}/heatloom/{uuid.uuid4().hex}"
-    ids.groupBy().agg(*lists).write.json(path)
+    ids.select(*lists).write.json(path)
     return splits.split_id_list(readings(v), splits.scan_split_lists(v.spark, path))
 
 
@@ -119,6 +119,17 @@ def _(v):
     return splits.split_group(readings(v), 0.8, 42, D)
 
 
+@query(
+    "split_group_sizes",
+    """SELECT unnest(['train', 'test', 'val']) AS split, unnest([n - t, t - v, v]) AS series FROM (
+      SELECT n, t, CAST(ceil(t / 2) AS BIGINT) AS v FROM (
+        SELECT n, CAST(ceil(n * (1 - CAST(0.8 AS DOUBLE))) AS BIGINT) AS t FROM (SELECT count(DISTINCT user_id) AS n FROM events)))""",
+)
+def _(v):
+    parts = splits.split_group(readings(v), 0.8, 42, D)
+    return parts.groupBy("split").agg(F.countDistinct("id").alias("series"))
+
+
 _DAYS = "SELECT event_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS days_from_start FROM events"
 
 
@@ -277,12 +288,14 @@ def _(v):
 
 @query(
     "feature_registry",
-    "SELECT id, datetime, diff FROM readings",
+    "SELECT id, datetime, diff, value * 2 AS hum_avg, value + 1 AS tmax, value - 1 AS tsun, value * 3 AS wpgt FROM readings",
     "readings",
-    "diff",
+    "diff hum_avg tmax tsun wpgt",
 )
 def _(v):
-    return v.readings.select("id", "datetime", *feature_columns(12))
+    x = F.col("value")
+    weather = {"hum_avg": x * 2, "tmax": x + 1, "tsun": x - 1, "wpgt": x * 3, "unused": x}
+    return v.readings.withColumns(weather).select("id", "datetime", *feature_columns(4))
 
 
 _OU = """SELECT id, datetime, diff, p + 0.7 * (mu - p) AS diff_n, p + 0.7 * (mu - p) + 0.7 * (mu - (p + 0.7 * (mu - p))) AS "diff(t+1)_n"

@@ -106,6 +106,14 @@ SQL: dict[str, tuple[list[str], str]] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY datetime) - 1 AS i, count(*) OVER (PARTITION BY id) AS n
               FROM readings)""",
     ),
+    "split_dirty": (
+        ["dirty"],
+        """
+        SELECT *, CASE WHEN i <= floor(n * CAST(0.8 AS DOUBLE)) THEN 'train'
+          WHEN i <= floor(n * ((1 - CAST(0.8 AS DOUBLE)) / 2 + CAST(0.8 AS DOUBLE))) THEN 'test' ELSE 'val' END AS split
+        FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY datetime) - 1 AS i, count(*) OVER (PARTITION BY id) AS n
+              FROM dirty)""",
+    ),
     "sales": (
         [],
         """

@@ -112,11 +112,16 @@ def split_fixed_dates(df: DataFrame, val_from: str = "2021-08-01", test_from: st
     return df.withColumn("split", F.when(day < F.lit(val_from).cast("date"), "train").otherwise(later))
 
 
-def scan_split_lists(spark: SparkSession, path: str) -> DataFrame:
-    """``{"train_ids": [...], ...}`` to rows of id and split."""
-    raw = spark.read.option("multiLine", True).schema("train_ids array<string>, val_ids array<string>, test_ids array<string>").json(path)
-    parts = [raw.select(F.explode(f"{p}_ids").alias("id"), F.lit(p).alias("split")) for p in SPLITS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def scan_split_lists(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Records with ``train_ids``, ``val_ids`` and ``test_ids`` lists to rows of id and split.
+
+    Long lists are best kept as many records, one per line; ``multi_line`` reads files that are one record each.
+    """
+    schema = ", ".join(f"{p}_ids array<string>" for p in SPLITS)
+    raw = spark.read.option("multiLine", multi_line).schema(schema).json(path)
+    named = [F.struct(F.lit(p).alias("split"), F.col(f"{p}_ids").alias("ids")) for p in SPLITS]
+    lists = raw.select(F.explode(F.array(*named)).alias("_l"))
+    return lists.select(F.explode("_l.ids").alias("id"), F.col("_l.split").alias("split"))
 
 
 def split_id_list(df: DataFrame, lists: DataFrame, id_col: str = "id", by: str = "datetime") -> DataFrame:

@@ -230,6 +230,7 @@ class RunConfig:
 
     res: str = "day"
     feature_code: int = 12
+    feature_list: tuple[str, ...] | None = None
     dataset: str = "all"
     energy: str = "all"
     n_in: int = 7
@@ -257,4 +258,4 @@ class RunConfig:
 
     @property
     def features(self) -> list[str]:
-        return feature_columns(self.feature_code)
+        return sorted(self.feature_list) if self.feature_list else feature_columns(self.feature_code)
