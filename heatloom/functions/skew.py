@@ -8,6 +8,28 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Size the optimizer assumes for ``df``; None where the session does not tell."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - a remote session has no plan to look at
+        return None
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes."""
+    text = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).lower()
+    text = text.removesuffix("b") if not text.lstrip("-").isdigit() else text
+    units = {"k": 10, "m": 20, "g": 30}
+    return int(text[:-1]) << units[text[-1]] if text[-1] in units else int(text)
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether Spark broadcasts ``df`` in a join by itself."""
+    size = estimated_bytes(df)
+    return size is not None and size <= broadcast_limit(df)
+
+
 def spread_join(
     rows: DataFrame,
     dim: DataFrame,
@@ -16,14 +38,18 @@ def spread_join(
     by: list[str] | str = "datetime",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join ``dim`` (small, unique by ``on`` or nearly so) to ``rows``; a hot key is spread over ``salts`` tasks.
+    """Join ``dim`` (few rows per key) to ``rows`` (any number of rows per key).
 
-    There is no broadcast hint: Spark broadcasts ``dim`` only if its measured size is below
-    ``spark.sql.autoBroadcastJoinThreshold``; above it, the salted shuffle join keeps tasks even, also for rows
-    whose key is null. ``by`` names columns of ``rows`` that vary within a key.
+    A ``dim`` whose estimated size is below the broadcast threshold is joined as it is. Otherwise each key, also a
+    null one, is spread over ``salts`` shuffle partitions by a hash of ``by`` (columns that vary within a key) and
+    ``dim`` is copied to each of them; adaptive execution splits what is still too large. The salt is part of the
+    join key, so a later window can not take over a partitioning by the bare key, which would put a hot key back
+    into one task.
     """
     on = [on] if isinstance(on, str) else list(on)
     by = [by] if isinstance(by, str) else list(by)
+    if is_small(dim):
+        return rows.join(dim, on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

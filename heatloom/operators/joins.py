@@ -14,9 +14,12 @@ def join_meta(df: DataFrame, meta: DataFrame, key: str = "base_id", by: str = "d
     return spread_join(df, meta, key, by=by)
 
 
-def join_weather(df: DataFrame, weather: DataFrame, by: str = "id") -> DataFrame:
-    """Weather of each reading's place and time, null where there is none."""
-    return spread_join(df, weather, ["datetime", "plz"], by=by)
+def join_weather(df: DataFrame, weather: DataFrame) -> DataFrame:
+    """Weather of each reading's place and time, null where there is none.
+
+    The time in the key spreads a busy place over as many keys as there are times.
+    """
+    return df.join(weather, ["datetime", "plz"], "left")
 
 
 def join_meta_lod(meta: DataFrame, lod: DataFrame, drops: tuple[str, ...] = ()) -> DataFrame:
@@ -101,7 +104,7 @@ def star_enrich(
     """Sales with their store, item and number of transactions of the store on that day."""
     out = spread_join(fact, stores, "store_nbr", by=["item_nbr", "date"])
     out = spread_join(out, items, "item_nbr", by=["store_nbr", "date"])
-    out = spread_join(out, transactions, ["date", "store_nbr"], by="item_nbr")
+    out = out.join(transactions, ["date", "store_nbr"], "left")
     return out.withColumn("transactions", F.coalesce("transactions", F.lit(default)))
 
 
