@@ -232,7 +232,16 @@ def _(v):
     return window_rows(frames.sliding_windows(v.readings, ROLES, 5, 3, s=D))
 
 
-@query("sampled_windows")
+@query(
+    "sampled_windows",
+    f"""SELECT * FROM ({window_sql()}) WHERE (id, window_start) IN (SELECT (id, datetime) FROM (
+      SELECT id, datetime FROM (SELECT id, datetime, row_number() OVER (PARTITION BY id ORDER BY datetime) AS k,
+        count(*) OVER (PARTITION BY id) AS n FROM readings) WHERE k + 4 <= n
+      ORDER BY md5(id || '|' || CAST(datetime AS VARCHAR) || '|42') LIMIT 200))""",
+    "readings",
+    "x0 x1 output active",
+    "step",
+)
 def _(v):
     return window_rows(frames.sampled_windows(v.readings, ROLES, 5, 3, 200, s=D))
 

@@ -9,6 +9,7 @@ from checks.views import D, H
 from heatloom.operators import profile
 
 DAY = "INTERVAL 1 DAY"
+READING = "id, datetime, diff, value, source"
 GAPS = "SELECT id, lag(datetime) OVER (PARTITION BY id ORDER BY datetime) AS p, datetime FROM readings"
 
 
@@ -319,6 +320,11 @@ def _(v):
     return profile.time_window_slice(v.readings.select("id", "datetime", "diff"), 14, D)
 
 
-@query("sample_rows")
+@query(
+    "sample_rows",
+    f"SELECT {READING} FROM readings ORDER BY md5(id || '|' || CAST(datetime AS VARCHAR) || '|42') LIMIT 1000",
+    "readings",
+    "diff value",
+)
 def _(v):
     return profile.sample_rows(v.readings, 1000)

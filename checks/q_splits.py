@@ -114,7 +114,15 @@ def _(v):
     return splits.split_id_list(readings(v), splits.scan_split_lists(v.spark, path))
 
 
-@query("split_group")
+@query(
+    "split_group",
+    """WITH u AS (SELECT id, row_number() OVER (ORDER BY md5(id || '|42')) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM readings)),
+    c AS (SELECT *, ceil(n * (1 - CAST(0.8 AS DOUBLE))) AS t FROM u)
+    SELECT id, datetime, diff, CASE WHEN r < n - t THEN 'train' WHEN r < n - ceil(t / 2) THEN 'test' ELSE 'val' END AS split
+    FROM readings JOIN c USING (id)""",
+    "readings",
+    "diff",
+)
 def _(v):
     return splits.split_group(readings(v), 0.8, 42, D)
 

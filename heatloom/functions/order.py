@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from heatloom.functions.skew import spread_join
 from heatloom.functions.tables import materialize
 
-BUCKET_BITS = 14
+BUCKETS = 65536  # values of the leading four hexadecimal digits of a hash
 
 
 def _linear(n: Column, p: float) -> tuple[Column, Column, Column]:
@@ -34,6 +34,7 @@ def quantiles(
     probs: dict[str, float],
     method: str = "linear",
     accuracy: int = 10_000,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Exact quantiles of ``col`` per group, one output column per entry of ``probs``; nulls are ignored.
 
@@ -41,6 +42,9 @@ def quantiles(
     brackets each wanted rank; values outside the bracket are only counted (before the shuffle), and only the few
     distinct values inside it are ranked, so a group holding most of the rows costs no more than the others. If a
     rank were ever outside its bracket the query fails rather than returning a neighbour.
+
+    Without ``by``, or where the caller knows that there are only a few groups (columns, splits), the sketch is
+    handed to the rows as it is and no row is shuffled.
     """
     by = [by] if isinstance(by, str) else list(by)
     rank_of = METHODS[method]
@@ -50,67 +54,62 @@ def quantiles(
     for name in names:
         edges += [max(0.0, probs[name] - margin), min(1.0, probs[name] + margin)]
     rows = df.select(*by, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if not by:
-        rows = rows.withColumn("_all", F.lit(1))
-    keys = by or ["_all"]
-
+    keys = by
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", edges, accuracy).alias("_edges"),
     )
-    marked = spread_join(rows, sketch, keys, "inner", by="_v")
-    sides = []
-    for i in range(len(names)):
-        low, high = F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1]
-        side = F.when(F.col("_v") < low, -1).when(F.col("_v") > high, 1).otherwise(0)
-        sides.append(
-            F.struct(
-                F.lit(i).alias("i"), side.alias("side"), F.when(side == 0, F.col("_v")).alias("exact")
-            )
-        )
+    if not keys:
+        whole = sketch.select(F.struct("*")).scalar()
+        marked = rows.withColumn("_s", whole).select("_v", "_s._n", "_s._edges")
+    elif few_groups:
+        marked = rows.join(F.broadcast(sketch), keys)
+    else:
+        marked = spread_join(rows, sketch, keys, "inner", by="_v")
+    # values inside a bracket stay as they are, those between two brackets become one counted group
+    v = F.col("_v")
+    inside, zone = F.lit(False), F.lit(0)
+    for i in range(0, len(edges), 2):
+        low, high = F.col("_edges")[i], F.col("_edges")[i + 1]
+        inside = inside | v.between(low, high)
+        zone = zone + (v > low).cast("int") + (v > high).cast("int")
     counted = (
-        marked.select(*keys, "_n", "_v", F.explode(F.array(*sides)).alias("_s"))
-        .groupBy(*keys, "_n", F.col("_s.i").alias("i"), F.col("_s.side").alias("side"), F.col("_s.exact").alias("exact"))
+        marked.groupBy(*keys, "_n", zone.alias("_zone"), F.when(inside, v).alias("_exact"))
         .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
-    w = Window.partitionBy(*keys, "i").orderBy("side", "exact")
+    w = Window.partitionBy(*(keys or ["_n"])).orderBy("_zone", F.col("_exact").asc_nulls_first())
     counted = counted.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     start = F.col("_upto") - F.col("_c")
 
-    out = []
+    def at(rank: Column) -> Column:
+        value = (
+            F.when(F.col("_exact").isNotNull(), F.col("_exact"))
+            .when(rank == F.col("_upto"), F.col("_hi"))
+            .when(rank == start + 1, F.col("_lo"))
+            .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
+        )
+        return F.max(F.when((rank > start) & (rank <= F.col("_upto")), value))
+
+    found, result = [], []
     for i, name in enumerate(names):
         low, high, weight = rank_of(F.col("_n"), probs[name])
-
-        def at(rank: Column, i: int = i) -> Column:
-            here = (F.col("i") == i) & (rank > start) & (rank <= F.col("_upto"))
-            exact = (
-                F.when(F.col("side") == 0, F.col("exact"))
-                .when((F.col("side") == -1) & (rank == F.col("_upto")), F.col("_hi"))
-                .when((F.col("side") == 1) & (rank == start + 1), F.col("_lo"))
-                .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-            )
-            return F.max(F.when(here, exact))
-
-        out += [at(low).alias(f"_{i}_low"), at(high).alias(f"_{i}_high"), F.max(F.when(F.col("i") == i, weight)).alias(f"_{i}_w")]
-    found = counted.groupBy(*keys, "_n").agg(*out)
-    result = [
-        (F.col(f"_{i}_low") + (F.col(f"_{i}_high") - F.col(f"_{i}_low")) * F.col(f"_{i}_w")).alias(name)
-        for i, name in enumerate(names)
-    ]
-    return found.select(*by, F.col("_n").alias("n"), *result)
+        found += [at(low).alias(f"_{i}_low"), at(high).alias(f"_{i}_high"), F.max(weight).alias(f"_{i}_w")]
+        step = F.col(f"_{i}_high") - F.col(f"_{i}_low")
+        result.append((F.col(f"_{i}_low") + step * F.col(f"_{i}_w")).alias(name))
+    return counted.groupBy(*keys, "_n").agg(*found).select(*keys, F.col("_n").alias("n"), *result)
 
 
 def hash_order(df: DataFrame, cols: list[str], seed: int, position: str = "_rank", total: str = "_size") -> DataFrame:
     """Zero-based position of each row in the order of a seeded hash of ``cols`` (unique per row).
 
-    The leading bits of the hash cut the rows into a fixed number of even buckets, so only the bucket counts are
-    summed in one place.
+    The hash is the MD5 of the columns and the seed as text joined by ``|``, so the order can be had anywhere. Its
+    leading digits cut the rows into a fixed number of even buckets; only the bucket counts are summed in one place.
     """
-    buckets = 1 << BUCKET_BITS
-    rows = df.withColumn("_hash", F.xxhash64(*cols, F.lit(seed)))
-    rows = rows.withColumn("_bucket", F.shiftright("_hash", 64 - BUCKET_BITS).cast("int") + F.lit(buckets // 2))
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(str(seed)))
+    rows = df.withColumn("_hash", F.md5(text.cast("binary")))
+    rows = rows.withColumn("_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"))
     counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    everything = Window.partitionBy(F.lit(0)).orderBy("_bucket")  # at most 2^BUCKET_BITS rows
+    everything = Window.partitionBy(F.lit(0)).orderBy("_bucket")  # at most BUCKETS rows
     counts = counts.select(
         "_bucket",
         F.coalesce(F.sum("_c").over(everything.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
@@ -118,7 +117,7 @@ def hash_order(df: DataFrame, cols: list[str], seed: int, position: str = "_rank
     )
     inside = Window.partitionBy("_bucket").orderBy("_hash", *cols)
     return (
-        rows.join(F.broadcast(counts), "_bucket")  # bounded by the number of buckets
+        rows.join(F.broadcast(counts), "_bucket")  # bounded by BUCKETS
         .withColumn(position, F.row_number().over(inside).cast("long") - 1 + F.col("_offset"))
         .drop("_bucket", "_offset", "_hash")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from heatloom.functions.series import DAILY, Series
 from heatloom.functions.skew import spread_join
+from heatloom.functions.tables import materialize
 from heatloom.operators.frames import ahead
 from heatloom.operators.profile import building_stats
 from heatloom.schema import N_CLUSTERS
@@ -50,13 +51,13 @@ def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def _fit(estimator, train: DataFrame, features: Sequence[str], n_out: int, target: str) -> list:
-    rows = _vectors(train, features)
-    models = []
-    for h in range(n_out):
-        label = F.col(f"`{ahead(target, h)}`").cast("double")
-        one = rows.select("features", label.alias("label"))
-        models.append(estimator.copy().setPredictionCol(f"_p{h}").fit(one))
-    return models
+    """One model per horizon; the training rows are stored once and read for each."""
+    labels = [F.col(f"`{ahead(target, h)}`").cast("double").alias(f"_y{h}") for h in range(n_out)]
+    rows = materialize(_vectors(train, features).select("features", *labels))
+    return [
+        estimator.copy().setLabelCol(f"_y{h}").setPredictionCol(f"_p{h}").fit(rows.select("features", f"_y{h}"))
+        for h in range(n_out)
+    ]
 
 
 def linear_forecast(train: DataFrame, features: Sequence[str], n_out: int, target: str = "diff") -> list:

@@ -30,11 +30,16 @@ def _points(start: Column, end: Column, s: Series) -> tuple[Column, Column]:
     return blocks, inside
 
 
+def _scattered(df: DataFrame, *cols: str) -> DataFrame:
+    """Few rows that are about to become many, spread over all tasks (a fixed number, so that it stays that way)."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def date_spine(df: DataFrame, s: Series = DAILY) -> DataFrame:
     """Every grid point between the first and last reading of each series."""
     ends = df.groupBy(s.id).agg(F.min(s.time).alias("_lo"), F.max(s.time).alias("_hi"))
     blocks, inside = _points(F.col("_lo"), F.col("_hi"), s)
-    rows = ends.select(s.id, "_hi", F.explode(blocks).alias("_block"))
+    rows = _scattered(ends.select(s.id, "_hi", F.explode(blocks).alias("_block")), s.id, "_block")
     return rows.select(s.id, F.explode(inside(F.col("_block"))).alias(s.time))
 
 
@@ -70,7 +75,7 @@ def missing_dates(df: DataFrame, s: Series = DAILY) -> DataFrame:
     """One row per absent grid point of each series."""
     spans = gap_spans(df, s)
     blocks, inside = _points(F.col("start"), F.col("end"), s)
-    rows = spans.select(s.id, "end", F.explode(blocks).alias("_block"))
+    rows = _scattered(spans.select(s.id, "end", F.explode(blocks).alias("_block")), s.id, "_block")
     return rows.select(s.id, F.explode(inside(F.col("_block"))).alias("missing_date"))
 
 
@@ -189,7 +194,7 @@ def describe_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.min("_x").alias("min"),
         F.max("_x").alias("max"),
     )
-    quartiles = quantiles(long, "column", "_x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}).drop("n")
+    quartiles = quantiles(long, "column", "_x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, few_groups=True).drop("n")
     return stats.join(quartiles, "column", "left")
 
 
@@ -263,7 +268,7 @@ def split_series_stats(df: DataFrame, id_col: str = "id") -> DataFrame:
     stats = lengths.groupBy("split").agg(
         F.count(F.lit(1)).alias("series"), F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean")
     )
-    return stats.join(quantiles(lengths, "split", "n", {"median": 0.5}).drop("n"), "split", "left")
+    return stats.join(quantiles(lengths, "split", "n", {"median": 0.5}, few_groups=True).drop("n"), "split", "left")
 
 
 def reduction_report(stages: Sequence[tuple[str, DataFrame]], id_col: str = "id") -> DataFrame:
