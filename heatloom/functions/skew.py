@@ -11,7 +11,7 @@ SALTS = 16
 def estimated_bytes(df: DataFrame) -> int | None:
     """Size the optimizer assumes for ``df``; None where the session does not tell."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - a remote session has no plan to look at
         return None
 
