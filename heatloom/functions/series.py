@@ -192,13 +192,17 @@ class Series:
         """
         size = max(self.chunk, before, after, 1)
         at, total = F.col("_pos") % size, F.col("_total")
-        run = F.floor(F.col("_pos") / size).cast("long")
-        copies = [run]
-        if before:
-            copies.append(F.when((at >= size - before) & ((run + 1) * size < total), run + 1))
-        if after:
-            copies.append(F.when((at < after) & (run > 0), run - 1))
-        rows = self.numbered(df).withColumn("_run", F.explode(F.array_compact(F.array(*copies))))
+        run = ((F.col("_pos") - at) / size).cast("long")
+        to_next = (at >= size - before) & (F.col("_pos") - at + size < total)
+        to_last = (at < after) & (run > 0)
+        # literal arrays per case compile to plain code; most rows have no copy
+        copies = (
+            F.when(to_next & to_last, F.array(run, run + 1, run - 1))
+            .when(to_next, F.array(run, run + 1))
+            .when(to_last, F.array(run, run - 1))
+            .otherwise(F.array(run))
+        )
+        rows = self.numbered(df).withColumn("_run", F.explode(copies))
         w = Window.partitionBy(self.id, "_run").orderBy("_pos")
         rows = rows.withColumn("_own", F.col("_run") == run).withColumns(columns(w))
         return rows.filter("_own").drop("_own", "_run", "_pos", "_total")

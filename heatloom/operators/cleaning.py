@@ -123,20 +123,44 @@ def split_at_gaps(df: DataFrame, s: Series = DAILY, min_gap: int = 7, values: Se
     Parts are numbered over all parts of a series and named ``<id>-<k>``; a part is kept only if its grid is longer
     than ``min_gap``. A series with one part keeps its id and all of its rows. Rows without any of ``values`` count
     as missing.
+
+    A slice holds whole parts in its middle and pieces of parts at its ends; where those begin and end is known
+    from the seam, so that the rows are shuffled once and no table of parts is needed.
     """
     past = Window.unboundedPreceding
+    back = Window.partitionBy(s.id).orderBy(F.col(SLICE).desc()).rowsBetween(past, 0)
+    whole = Window.partitionBy(s.id)
+    piece = Window.partitionBy(s.id, SLICE, "_here")
 
     def breaks(earlier: Column, later: Column) -> Column:
         return F.coalesce((s.steps(earlier, later) - 1 >= min_gap).cast("long"), F.lit(0))
 
-    # gaps between rows of a slice are counted there, the gap in front of a slice on the seam
+    gap = F.col("_gap") > 0
+    entry, exits = F.col("_entry") > 0, F.coalesce(F.col("_exit") > 0, F.lit(True))
+    opened = F.when(F.col("_gaps") > 0, F.col("_opens")).when(entry | F.col("_top").isNull(), F.col("_lo"))
+    closed = F.when(F.col("_gaps") > 0, F.col("_closes")).when(exits, F.col("_hi"))
     rows = s.carry(
         df.dropna(how="all", subset=list(values)),
-        {"_gaps": F.sum("_gap"), "_lo": F.min(s.time), "_hi": F.max(s.time)},
         {
-            "_entry": lambda w: breaks(F.lag("_hi").over(w), F.col("_lo")),
+            "_gaps": F.sum("_gap"),
+            "_lo": F.min(s.time),
+            "_hi": F.max(s.time),
+            "_opens": F.max(F.when(gap, F.col(s.time))),  # start of the last piece
+            "_closes": F.min(F.when(gap, F.col("_before"))),  # end of the first piece
+        },
+        {
+            "_top": lambda w: F.lag("_hi").over(w),
+            "_entry": lambda w: breaks(F.col("_top"), F.col("_lo")),
+            "_exit": lambda w: F.lead("_entry").over(w),
             "_entries": lambda w: F.sum("_entry").over(w.rowsBetween(past, 0)),
             "_inner": lambda w: F.coalesce(F.sum("_gaps").over(w.rowsBetween(past, -1)), F.lit(0)),
+            "_breaks": lambda w: F.sum(F.col("_gaps") + F.col("_entry")).over(whole),
+            "_start": lambda w: F.when(entry | F.col("_top").isNull(), F.col("_lo")).otherwise(
+                F.last(opened, True).over(w.rowsBetween(past, -1))
+            ),
+            "_first_end": lambda w: F.last(closed, True).over(back),
+            "_end": lambda w: F.when(exits, F.col("_hi")).otherwise(F.lead("_first_end").over(w)),
+            "_all": lambda w: F.col("_gaps"),
         },
         {
             "_before": lambda w: F.lag(s.time).over(w),
@@ -144,18 +168,14 @@ def split_at_gaps(df: DataFrame, s: Series = DAILY, min_gap: int = 7, values: Se
             "_here": lambda w: F.sum("_gap").over(w.rowsBetween(past, 0)),
         },
     )
+    first, last = F.col("_here") == 0, F.col("_here") == F.col("_all")
+    start = F.when(first, F.col("_start")).otherwise(F.min(s.time).over(piece))
+    end = F.when(last, F.col("_end")).otherwise(F.max(s.time).over(piece))
+    rows = rows.withColumns({"_from": start, "_to": end})
+    single = F.col("_breaks") == 0
+    rows = rows.filter(single | (s.steps(F.col("_from"), F.col("_to")) + 1 > min_gap))
     part = F.col("_here") + F.col("_inner") + F.col("_entries")
-    rows = rows.withColumn("_part", part).select(*df.columns, "_part")
-    parts = rows.groupBy(s.id, "_part").agg(F.min(s.time).alias("_lo"), F.max(s.time).alias("_hi"))
-    parts = parts.select(
-        s.id,
-        "_part",
-        (F.max("_part").over(Window.partitionBy(s.id)) == 0).alias("_whole"),
-        (s.steps(F.col("_lo"), F.col("_hi")) + 1 > min_gap).alias("_long"),
-    ).filter(F.col("_whole") | F.col("_long"))
-    rows = spread_join(rows, parts, [s.id, "_part"], "inner", by=s.time)
-    name = F.when(F.col("_whole"), F.col(s.id)).otherwise(F.concat_ws("-", s.id, F.col("_part")))
-    return rows.withColumn(s.id, name).select(*df.columns)
+    return rows.withColumn(s.id, F.when(single, F.col(s.id)).otherwise(F.concat_ws("-", s.id, part))).select(*df.columns)
 
 
 def interpolate_linear(

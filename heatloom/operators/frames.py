@@ -85,22 +85,18 @@ def supervised_frame(
     remain but they may hold nulls.
     """
 
+    full = F.lit(True)
+    for c in cols:
+        full = full & F.col(c).isNotNull()
+
     def columns(w) -> dict[str, Column]:
         frame = w.rowsBetween(-lag_in, lag_out - 1)
-        return {"steps": F.collect_list(F.struct(*cols)).over(frame)}
+        return {"steps": F.collect_list(F.struct(*cols)).over(frame), "_full": F.count(F.when(full, 1)).over(frame)}
 
+    total = lag_in + lag_out
     rows = s.neighbours(df.select(s.id, s.time, *cols), lag_in, lag_out - 1, columns)
-    rows = rows.select(s.id, s.time, "steps").filter(F.size("steps") == lag_in + lag_out)
-    if dropnan:
-        rows = rows.filter(F.forall("steps", lambda x: _no_null(x, cols)))
-    return rows
-
-
-def _no_null(step: Column, cols: Sequence[str]) -> Column:
-    full = F.lit(True)
-    for c in cols:
-        full = full & step[c].isNotNull()
-    return full
+    rows = rows.filter((F.col("_full") if dropnan else F.size("steps")) == total)
+    return rows.select(s.id, s.time, "steps")
 
 
 def wide(df: DataFrame, cols: Sequence[str], lag_in: int, lag_out: int) -> DataFrame:

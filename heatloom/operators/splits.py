@@ -151,7 +151,7 @@ def split_boundary_overlap(
         F.when((i >= valid - overlap) & (i < test), "val"),
         F.when(i >= test - overlap, "test"),
     )
-    return df.withColumn("split", F.explode(F.array_compact(names)))
+    return df.withColumn("split", F.explode(names)).filter(F.col("split").isNotNull())
 
 
 def split_year(
