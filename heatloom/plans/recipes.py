@@ -54,7 +54,10 @@ def recipe_features(
 
 
 def recipe_training(features: DataFrame, config: RunConfig, s: Series) -> tuple[DataFrame, list[str]]:
-    """Lags, complete rows, one energy type, encoded categories and cycles; also the final feature names."""
+    """Lags, complete rows, one energy type, encoded categories and cycles; also the final feature names.
+
+    The ``building_noise`` variant adds noisy forecasts of the weather, which are not listed among the features.
+    """
     wanted = config.features
     df = frames.lag_lead_columns(features, config.lag_in, config.lag_out, s)
     df = frames.drop_incomplete_lags(df, config.lag_in, config.lag_out)
@@ -62,13 +65,15 @@ def recipe_training(features: DataFrame, config: RunConfig, s: Series) -> tuple[
     df = materialize(rows.require_features(df, required_features(config.dataset, config.res, wanted)))
     cats = [c for c in CATEGORICAL if c in wanted]
     df, names = scaling.one_hot(df, cats)
-    if config.dataset == "coverage90":
+    if config.dataset == "missing_data_90":
         df = profile.coverage_filter(df, s)
     else:
         df = rows.exclude_ids(df, config.excluded_ids)
     cycles = [c for c in CYCLIC if c in wanted]
     if cycles:
         df = rows.cyclic_encode(df, cycles)
+    if config.noisy_features:
+        df = scaling.noise_forecast(df, config.noisy_features, config.n_future, config.sigma, config.seed, s)
     plain = [c for c in wanted if c not in cats and c not in cycles]
     return df, plain + names + [f"{c}_{w}" for c in cycles for w in ("sin", "cos")]
 
@@ -92,6 +97,7 @@ def recipe_prepare(features: DataFrame, config: RunConfig, s: Series) -> tuple[D
         return df, names
     df = materialize(df)
     cont = [c for c in names if c in CONTINUOUS + CONTINUOUS_RES[config.res]]
+    cont += [scaling.noisy(c, i) for c in config.noisy_features for i in range(config.n_future)]
     if config.scale_mode == "individual":
         return scaling.standardize_per_series(df, "diff", cont, config.scaler, s).drop("base_id"), names
     if config.scale_mode != "all":
