@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # call sites of column expressions are not needed and slow plans of many expressions down
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # keep window and aggregate operators from hiding a skewed join from AQE
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
