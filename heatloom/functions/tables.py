@@ -2,35 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
-
-    Only a single-process session (tests, a laptop) may fall back to a folder of its own; a cluster has to
-    name one that every executor reaches.
-    """
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, one inside the warehouse, which is shared as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="heatloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages").rstrip("/")
+
+
+def new_path(spark: SparkSession) -> str:
+    """An unused path in the shared folder; what is written there goes when the session ends."""
+    path = f"{shared_folder(spark)}/heatloom/{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
     Cuts the lineage between heavy stages: later stages scan the pruned columns of a replicated table instead of
-    recomputing their inputs, also after an executor is lost.
+    recomputing their inputs, also after an executor is lost. The table is deleted when the session ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/heatloom/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
