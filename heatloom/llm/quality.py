@@ -61,14 +61,13 @@ def base_measures(text: str) -> dict[str, Column]:
     }
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``row`` (all columns of ``docs``), the group (``lang``, ``source``), counts, measures and ``base_failed``."""
-    m = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    m = m.select(
-        "row",
-        F.coalesce("row.lang", F.lit("")).alias("lang"),
-        F.coalesce("row.source", F.lit("")).alias("source"),
-        *[c.alias(n) for n, c in base_measures("row.text").items()],
+def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns ``keep`` of ``docs``, or all), the group (``lang``, ``source``), counts, measures and ``base_failed``."""
+    m = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"),
+        F.coalesce("lang", F.lit("")).alias("lang"),
+        F.coalesce("source", F.lit("")).alias("source"),
+        *[c.alias(n) for n, c in base_measures("text").items()],
     )
     m = m.select(
         "row", "lang", "source", "n_symbols", "n_capitals",
@@ -136,10 +135,14 @@ def group_thresholds(m: DataFrame) -> DataFrame:
     return joined.select("a.lang", "a.source", best.alias("t"))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """All of ``measured`` plus ``kept`` and ``failed`` (names of the measures beyond their thresholds, comma-joined)."""
-    m = materialize(measured(docs))
-    t = group_thresholds(m)
+def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """All of ``measured`` plus ``kept`` and ``failed`` (names of the measures beyond their thresholds, comma-joined).
+
+    The measures are stored, so that texts are read once. So are the thresholds: their size is then known when the join is
+    planned, and rows are shuffled only if there are too many groups to broadcast.
+    """
+    m = materialize(measured(docs, keep))
+    t = materialize(group_thresholds(m))
     beyond = [F.when((F.col(x) > F.col(f"t.hi_{x}")) | (F.col(x) < F.col(f"t.lo_{x}")), F.lit(x)) for x in MEASURES]
     out = m.join(t, ["lang", "source"], "left").withColumn("failed", F.concat_ws(",", *beyond)).drop("t")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed") == ""))
@@ -152,6 +155,6 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """One row per document: basic counts, verdicts and the measures that failed."""
-    return judged(docs.select("doc_id", "text", "lang", "source").withColumn("text", F.col("text"))).select(
+    return judged(docs, ["doc_id"]).select(
         F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed"
     )
