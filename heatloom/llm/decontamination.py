@@ -173,7 +173,7 @@ def _finder(items: list[tuple[str, list[str]]], window: int, slop: int, near_ter
         for s in range(max(1, len(ws) - window + 1)) if ws else ():
             windows[tuple(number[w] for w in ws[s : s + window])].add(i)
     phrases = [(np.array(k), sorted(v)) for k, v in windows.items()]
-    distinct = [np.unique([number[w] for w in ws]) for _, ws in items]
+    distinct = [np.unique(np.array([number[w] for w in ws], np.int64)) for _, ws in items]
     names = [n for n, _ in items]
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
