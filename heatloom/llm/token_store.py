@@ -22,6 +22,8 @@ encoded once each and looked up after that, see ``Encoder``.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -115,6 +117,10 @@ CLASS = _classes()
 #: Bytes that keep their word in one piece: contractions, special tokens, and all beyond Latin-1 letters.
 ODD = np.zeros(256, bool)
 ODD[[ord("'"), ord("<"), 0xC2, *range(0xC4, 0x100)]] = True
+#: Lower-case ASCII and Latin-1 letters.
+LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: Signs by which byte-level models name the bytes that have no visible sign of their own.
+BYTE_SIGNS = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)], range(256, 512), strict=False))
 
 
 class Encoder:
@@ -122,16 +128,27 @@ class Encoder:
 
     Words of ASCII and Latin-1 letters, digits and signs are cut where the class changes, as the pattern cuts them, and
     lower-cased; any other word is one piece. Each distinct piece goes through the library once and is remembered.
+    A piece of plain letters needs no normalizing and no pattern and goes to the library's model at once, if probes
+    show that this tokenizer treats both alike.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.plain = self.tokenizer.model.tokenize
+        probes = ["a", "the", "straße", "éàçñüöä", "ÿþðæ", "ingtionble", "qxzvkj" * 9]
+        self.direct = all(self.model_ids(x) == self.tokenizer.encode(x, add_special_tokens=False).ids for x in probes)
         self.forget()
 
+    def model_ids(self, piece: str) -> list[int]:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(BYTE_SIGNS)
+        return [t.id for t in self.plain(piece)]
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.store = np.zeros(1 << 16, np.uint32)
@@ -140,7 +157,9 @@ class Encoder:
     def learn(self, new: list[str]) -> None:
         if len(self.known) + len(new) > REMEMBERED:
             self.forget()
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        plain = [self.direct and LETTERS(x) is not None for x in new]
+        rest = iter(self.tokenizer.encode_batch_fast([x for x, p in zip(new, plain, strict=True) if not p], add_special_tokens=False))
+        ids = [self.model_ids(x) if p else next(rest).ids for x, p in zip(new, plain, strict=True)]
         n, m = len(self.known), int(self.borders[len(self.known)])
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lengths.sum())
