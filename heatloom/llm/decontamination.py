@@ -297,6 +297,15 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents in which no window of a test item occurs; all columns of ``docs``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    stored = materialize(docs.select(row, F.monotonically_increasing_id().alias("uid")))
+    found = search(build_index(stored.select("uid", F.col("row.text").alias("text")), "uid"), benchmark)
+    bad = materialize(found.where("n_hit > 0").select(F.col("id").alias("uid")))
+    return stored.join(bad, "uid", "left_anti").select("row.*")
+
+
 def digest(items: Iterable[str]) -> str:
     """The digest of a set of item ids, as the report has it."""
     return hashlib.sha256(",".join(sorted(set(items))).encode()).hexdigest()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from heatloom.functions.tables import new_path
-from heatloom.llm import decontamination, quality, simhash, token_store
+from heatloom.llm import decontamination, licenses, mixing, quality, sharding, simhash, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_positional_index")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_license_diagonals")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_stratified_shards")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharding_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pfair_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_report(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
