@@ -13,14 +13,38 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages").rstrip("/")
 
 
+#: Paths handed out and not yet deleted.
+_PATHS: list[str] = []
+
+
+def _on_store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def new_path(spark: SparkSession) -> str:
     """An unused path in the shared folder; what is written there goes when the session ends."""
     path = f"{shared_folder(spark)}/heatloom/{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    store, at = _on_store(spark, path)
+    store.deleteOnExit(at)
+    _PATHS.append(path)
     return path
 
 
+def stored_paths() -> list[str]:
+    """Paths of the stored tables that are still there, oldest first."""
+    return list(_PATHS)
+
+
+def drop_stored(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored tables; results that read them must have been written before."""
+    for path in paths:
+        if path in _PATHS:
+            store, at = _on_store(spark, path)
+            store.delete(at, True)
+            _PATHS.remove(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
