@@ -1,6 +1,6 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-``build_index`` stores, for each segment of whole documents (about ``SEGMENT_WORDS`` words, built by one task without a
+``build_index`` stores, for each segment of whole documents (about ``SEGMENT_BYTES`` of text, built by one task without a
 shuffle), the distinct terms and for each term the ascending list of its positions. A phrase is looked up in a segment by
 taking the position list of its rarest term there, shifted by the term's offset in the phrase, and intersecting it with the
 shifted lists of the next rarest terms until none is left or all terms agree; a segment that lacks a term is skipped. Proximity
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions.tables import materialize
+from heatloom.llm.places import PLACE, placed
 from heatloom.llm.text import NOT_ALNUM, chunks, lowered_table, strings, words
 
 WINDOW, SLOP, NEAR_TERMS = 10, 20, 4
@@ -36,10 +37,10 @@ SEGMENT_BYTES, BLOCK_BYTES = 16 << 20, 64 << 20
 TABLE = lowered_table(NOT_ALNUM)
 
 INDEX = (
-    "segment bigint, docs array<bigint>, doc_words binary, terms binary, term_ends binary, list_ends binary, positions binary"
+    "segment bigint, docs array<array<bigint>>, doc_words binary, terms binary, term_ends binary, list_ends binary, positions binary"
 )
 _FIELDS = [
-    ("segment", pa.int64()), ("docs", pa.list_(pa.int64())), ("doc_words", pa.binary()), ("terms", pa.binary()),
+    ("segment", pa.int64()), ("docs", pa.list_(pa.list_(pa.int64()))), ("doc_words", pa.binary()), ("terms", pa.binary()),
     ("term_ends", pa.binary()), ("list_ends", pa.binary()), ("positions", pa.binary()),
 ]
 
@@ -93,9 +94,9 @@ def _indexer(segment_bytes: int):
     return index
 
 
-def build_index(docs: DataFrame, id_column: str = "doc_id", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """Positional index of all texts of ``docs``, stored in the shared folder."""
-    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), "text")
+def build_index(docs: DataFrame, ids: tuple[str, ...] = ("doc_id",), segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """Positional index of all texts of ``docs``, which are named by the whole-number columns ``ids``, stored in the shared folder."""
+    rows = docs.select(F.array(*[F.col(f"`{c}`").cast("long") for c in ids]).alias("id"), "text")
     return materialize(rows.mapInArrow(_indexer(segment_bytes), INDEX))
 
 
@@ -233,7 +234,7 @@ def _doc_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(r["docs"])
             sizes = np.diff(np.frombuffer(r["doc_words"], "<i8"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r["segment"]] * n, pa.int64()), pa.array(np.arange(n), pa.int32()), pa.array(r["docs"], pa.int64()), pa.array(sizes, pa.int64())],
+                [pa.array([r["segment"]] * n, pa.int64()), pa.array(np.arange(n), pa.int32()), pa.array(r["docs"], pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
                 names=["segment", "place", "id", "n_words"],
             )
 
@@ -256,7 +257,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
 
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, near_terms: int = NEAR_TERMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per indexed document: ``id``, ``n_words``, ``n_hit``, ``spans`` of hit words, ``items`` with a window that occurs, ``near`` items.
+    """Per indexed document: ``id`` (array), ``n_words``, ``n_hit``, ``spans`` of hit words, ``items`` with a window that occurs, ``near`` items.
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one. ``near`` are the items whose ``near_terms``
     terms that are rarest there lie within ``slop`` words of one another's rarest.
@@ -267,7 +268,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
             _finder(block, window, slop, near_terms), "segment bigint, place int, spans array<array<int>>, items array<string>, near array<string>"
         )
         hits = found if hits is None else hits.unionAll(found)
-    docs = index.select("segment", "docs", "doc_words").mapInArrow(_doc_rows, "segment bigint, place int, id bigint, n_words bigint")
+    docs = index.select("segment", "docs", "doc_words").mapInArrow(_doc_rows, "segment bigint, place int, id array<bigint>, n_words bigint")
     none = F.expr("cast(array() as array<string>)")
     no_span = F.expr("cast(array() as array<array<int>>)")
     if hits is None:
@@ -289,7 +290,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: words, hit words, items found and their digest, verdict, items near."""
     found = search(build_index(docs), benchmark)
     return found.select(
-        F.col("id").alias("doc_id"), "n_words", "n_hit",
+        F.col("id")[0].alias("doc_id"), "n_words", "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
@@ -299,11 +300,10 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of a test item occurs; all columns of ``docs``."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    stored = materialize(docs.select(row, F.monotonically_increasing_id().alias("uid")))
-    found = search(build_index(stored.select("uid", F.col("row.text").alias("text")), "uid"), benchmark)
-    bad = materialize(found.where("n_hit > 0").select(F.col("id").alias("uid")))
-    return stored.join(bad, "uid", "left_anti").select("row.*")
+    rows = placed(docs)
+    found = search(build_index(rows.select(*PLACE, F.col("row.text").alias("text")), tuple(PLACE)), benchmark)
+    bad = materialize(found.where("n_hit > 0").select(*[F.col("id")[i].alias(c) for i, c in enumerate(PLACE)]))
+    return rows.join(bad, PLACE, "left_anti").select("row.*")
 
 
 def digest(items: Iterable[str]) -> str:

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from heatloom.functions.tables import materialize
 from heatloom.llm.order import positions
+from heatloom.llm.places import PLACE
+from heatloom.llm.places import placed as placed_rows
 
 BLOCK_ROWS, SEED = 64, 17
 #: Units of a cycle: at least so many, and so many for each source; target weights grow as this power of a source's size.
@@ -72,15 +74,15 @@ def default_weights(rows: dict[str | None, int], power: float = POWER) -> dict[s
     return {k: n**power for k, n in rows.items()}
 
 
-def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
-    """``row`` (the columns ``keep`` of ``docs``, or all) with source, rank, block, release, deadline, units, slot.
+def schedule(docs: DataFrame, names: list[str], weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
+    """The columns ``names`` of ``docs`` with source, rank, block, release, deadline, units and slot; one row per document.
 
     ``release`` and ``deadline`` are the slots between which the block has to run.
     """
     spark = docs.sparkSession
     rows = materialize(
         docs.select(
-            F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"),
+            F.struct(*names).alias("row"),
             F.col("source").cast("string").alias("source"),
             F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "text").alias("key"),
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -104,7 +106,7 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
     same = F.col("a.source").eqNullSafe(F.col("b.c_source")) & (F.col("a.c_block") == F.col("b.c_block"))
     placed = in_cycle.alias("a").join(slots.drop("units").alias("b"), same)
     return placed.select(
-        "a.row", "a.source", "a.rank", "a.block", "a.units",
+        "a.row.*", "a.source", "a.rank", "a.block", "a.units",
         F.expr(f"block * {total} div units").alias("release"),
         F.expr(f"((block + 1) * {total} + units - 1) div units").alias("deadline"),
         (F.col("round") * total + F.col("b.place")).alias("slot"),
@@ -112,14 +114,17 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All documents with their own columns, globally sorted: by slot, and within a block by rank."""
-    placed = schedule(docs, weights, block_rows)
-    return placed.orderBy("slot", "rank").select("row.*")
+    """All documents with their own columns, globally sorted: by slot, and within a block by rank.
+
+    The schedule is made of narrow rows; texts are shuffled twice, to their slots and into order.
+    """
+    rows = placed_rows(docs)
+    slots = schedule(rows.select(*PLACE, "row.doc_id", "row.source", "row.text"), PLACE, weights, block_rows)
+    return rows.join(slots.select(*PLACE, "slot", "rank"), PLACE).orderBy("slot", "rank").select("row.*")
 
 
 def mixing_report(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per document: its source, block, the slots it may run in and the one it got, and its place in the block."""
-    placed = schedule(docs, weights, block_rows, keep=["doc_id"])
-    return placed.select(
-        F.col("row.doc_id").alias("doc_id"), "source", "units", "block", "release", "deadline", "slot", F.expr(f"rank % {block_rows}").alias("row_in_block")
+    return schedule(docs, ["doc_id"], weights, block_rows).select(
+        "doc_id", "source", "units", "block", "release", "deadline", "slot", F.expr(f"rank % {block_rows}").alias("row_in_block")
     )

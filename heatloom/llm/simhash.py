@@ -33,6 +33,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
 from heatloom.functions.tables import materialize
+from heatloom.llm.places import PLACE, placed
 from heatloom.llm.text import SPACES, chunks, lowered_table, words
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -303,7 +304,7 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, radius: int = DISTANCE) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` of every row of ``docs`` (``doc_id``, ``fp``, and ``uid`` if there)."""
+    """``root`` and ``component_id`` added to the other columns of ``docs`` (``doc_id``, ``fp``, …)."""
     nodes = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     root = stars(links(docs.sparkSession, nodes, radius))
     rooted = nodes.join(root.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -319,9 +320,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without near duplicates and, of each component, the row with the smallest doc_id; all columns of ``docs``."""
-    stored = materialize(
-        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), fingerprint("text").alias("fp"), F.monotonically_increasing_id().alias("uid"))
-    )
-    of = components(stored.select(F.col("row.doc_id").cast("long").alias("doc_id"), "fp", "uid"))
-    first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first")).select(F.col("first.uid").alias("uid"))
-    return stored.join(first, "uid", "left_semi").select("row.*")
+    rows = placed(docs)
+    marked = materialize(rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), fingerprint("row.text").alias("fp"), *PLACE))
+    key = F.struct(F.col("doc_id").isNull(), "doc_id", *PLACE)
+    first = components(marked).groupBy("root").agg(F.min(key).alias("first")).select(*[F.col(f"first.{c}").alias(c) for c in PLACE])
+    return rows.join(first, PLACE, "left_semi").select("row.*")

@@ -58,7 +58,7 @@ def test_blocks_of_items(spark, block):
     """Test items that come in several blocks, over segments of a few documents."""
     index = D.build_index(edge_docs(spark), segment_bytes=200)
     rows = D.search(index, bench(spark, ITEMS), block_bytes=block).collect()
-    mine = sorted(((r.id, r.n_words, r.n_hit, len(r["items"]), D.digest(r["items"]), r.n_hit > 0) for r in rows), key=repr)
+    mine = sorted(((r.id[0], r.n_words, r.n_hit, len(r["items"]), D.digest(r["items"]), r.n_hit > 0) for r in rows), key=repr)
     assert mine == plain_report([r[:2] for r in edge_rows()], ITEMS)
 
 
@@ -72,7 +72,7 @@ def test_small_table(spark):
 def test_near(spark):
     """All four rarest terms within 20 words, in any order."""
     docs = spark.createDataFrame([(1, "delta x alpha y gamma z beta"), (2, "alpha " + "x " * 30 + "beta gamma delta"), (3, "alpha beta gamma")], "doc_id long, text string")
-    rows = {r.id: r.near for r in D.search(D.build_index(docs), bench(spark, [(9, "alpha beta gamma delta")])).collect()}
+    rows = {r.id[0]: r.near for r in D.search(D.build_index(docs), bench(spark, [(9, "alpha beta gamma delta")])).collect()}
     assert rows == {1: ["9"], 2: [], 3: []}
 
 
