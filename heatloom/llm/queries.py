@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from heatloom.functions.tables import new_path
-from heatloom.llm import decontamination, licenses, mixing, quality, sharding, simhash, token_store
+from heatloom.llm import decontamination, html_text, licenses, mixing, quality, sharding, simhash, suffixes, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op3_tag_path_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op9_repeated_passages")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.passage_report(table(spark, sf_dir, "documents"))
