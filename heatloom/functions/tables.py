@@ -13,6 +13,8 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages").rstrip("/")
 
 
+#: Setting that removes the shuffle files of a statement when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths handed out and not yet deleted.
 _PATHS: list[str] = []
 
@@ -49,9 +51,18 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
     Cuts the lineage between heavy stages: later stages scan the pruned columns of a replicated table instead of
-    recomputing their inputs, also after an executor is lost. The table is deleted when the session ends.
+    recomputing their inputs, also after an executor is lost. The table is deleted when the session ends, the shuffle
+    files that made it as soon as it is there.
     """
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
