@@ -3,9 +3,11 @@
 Every byte that lies in a ``LENGTH``-byte string which also starts earlier (in a document with a smaller id, or earlier in the
 same one) is removed. Buckets of suffixes are refined in three steps; what a step has settled is reused by the next:
 
-1. *Initial q-gram buckets.* Each ``LENGTH``-byte window belongs to the bucket of the q-gram in it with the smallest hash (the
-   leftmost of equals). Equal windows have equal q-grams at equal places, so they share a bucket. Consecutive windows with the
-   same q-gram form a *run*; there is a run for about every 35 bytes, and only runs are shuffled and sorted, by bucket.
+1. *Initial q-gram buckets.* Each ``LENGTH``-byte window belongs to the q-gram in it with the smallest hash (the leftmost of
+   equals), and to one of ``CELLS`` cells by the place of the q-gram in the window. All windows of a q-gram and cell have some bytes
+   around the q-gram in common (two thirds of a window); these are the bucket. Equal windows have equal q-grams at
+   equal places, so they share a bucket. Consecutive windows with the same q-gram and cell form a *run*; there is a run for
+   about every 25 bytes, and only runs are shuffled and sorted, by bucket.
 2. *Refinement by later offsets.* Inside a bucket, runs are sorted by an identifier of all that they span, from the first byte
    of their first window to the last byte of their last. Runs with the same identifier have the same windows: the
    first of them in document order leads, all others are removed whole. A bucket with one leader is settled.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from heatloom.functions.tables import materialize
 from heatloom.llm.text import chunks
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM, CELLS = 100, 32, 2
 PIECE = 4 << 20
 
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -102,21 +104,25 @@ def _pieces(column: pa.Array, length: int) -> Iterator[tuple[int, int, int, np.n
                 yield a, b, i, part, np.array([0, len(part)])
 
 
-def runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, q: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share their smallest q-gram: text number, first window, number of windows, bucket, identifier."""
+def runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, q: int = GRAM, cells: int = CELLS) -> tuple[np.ndarray, ...]:
+    """Runs of windows that share their smallest q-gram and cell: text number, first window, number of windows, bucket, identifier."""
     h = gram_hashes(buf, q)
     at = leftmost_smallest(h, length - q + 1) if len(buf) >= length else np.zeros(0, np.int64)
-    text = np.repeat(np.arange(len(off) - 1), np.maximum(0, np.diff(off) - length + 1))
+    sizes = np.maximum(0, np.diff(off) - length + 1)
+    text = np.repeat(np.arange(len(off) - 1), sizes)
     if not len(text):
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    sizes = np.maximum(0, np.diff(off) - length + 1)
     window = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(off[:-1], sizes)
     at = at[window]
-    cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
+    borders = np.rint(np.linspace(0, length - q + 1, cells + 1)).astype(np.int64)  # of the q-gram's place in the window
+    cell = (np.searchsorted(borders, at - window, "right") - 1).astype(np.int8)
+    cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]) | (cell[1:] != cell[:-1])]))
     n = np.diff(np.append(cut, len(text)))
-    first = window[cut]
-    return text[cut], first - off[text[cut]], n, h[at[cut]], Spans(buf, 0).of(first, first + n - 1 + length)
+    first, gram, cell = window[cut], at[cut], cell[cut]
+    spans = Spans(buf, 0)
+    bucket = spans.of(gram - borders[cell], gram - borders[cell + 1] + 1 + length)
+    return text[cut], first - off[text[cut]], n, bucket, spans.of(first, first + n - 1 + length)
 
 
 def _run_rows(length: int):
@@ -297,6 +303,8 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``removed`` (start, end) runs."""
+    if not GRAM <= length <= GRAM + 126:
+        raise ValueError(f"length must be from {GRAM} to {GRAM + 126}")
     texts, back = _numbered(docs)
     found = texts.mapInArrow(_run_rows(length), "bucket bigint, span bigint, did bigint, windows bigint")
     ordered = found.repartition("bucket").sortWithinPartitions("bucket", "span", "did", "windows")
