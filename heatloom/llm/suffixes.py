@@ -125,17 +125,32 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, q: int = GRAM,
     return text[cut], first - off[text[cut]], n, bucket, spans.of(first, first + n - 1 + length)
 
 
+def followers(bucket: np.ndarray, span: np.ndarray, did: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Places of the rows that have an earlier one with the same bucket and span."""
+    key = bucket ^ (span << np.uint64(1))
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    some = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(order) else order
+    some = some[np.lexsort((windows[some], did[some], span[some], bucket[some]))]
+    if not len(some):
+        return some
+    return some[1:][(bucket[some[1:]] == bucket[some[:-1]]) & (span[some[1:]] == span[some[:-1]])]
+
+
 def _run_rows(length: int):
+    """Runs of all texts. Followers inside a chunk are settled at once: they are marked (windows below 0) and dealt out evenly."""
+
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("did").to_numpy()
             for a, _, shift, buf, off in _pieces(batch.column("text"), length):
                 text, first, n, bucket, span = runs(buf, off, length)
+                did, windows = ids[a + text], ((first + shift) << 7) | n  # at most LENGTH - GRAM + 1 windows in a run
+                led = followers(bucket, span, did, windows)
+                bucket[led] = _mixed(did[led].view(np.uint64) * np.uint64(_M1) + windows[led].view(np.uint64))
+                windows[led] = -windows[led]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket.view(np.int64)), pa.array(span.view(np.int64)), pa.array(ids[a + text]),
-                        pa.array(((first + shift) << 7) | n),  # at most LENGTH - GRAM + 1 windows in a run
-                    ],
+                    [pa.array(bucket.view(np.int64)), pa.array(span.view(np.int64)), pa.array(did), pa.array(windows)],
                     names=["bucket", "span", "did", "windows"],
                 )
 
@@ -146,6 +161,7 @@ def _refine(length: int):
     """Step 2 over rows sorted by bucket, span and place: removed runs, and leaders that share a bucket."""
 
     def emit(did: np.ndarray, windows: np.ndarray, whole: bool) -> pa.RecordBatch:
+        windows = np.abs(windows)
         first, n = windows >> 7, windows & 127
         return pa.RecordBatch.from_arrays(
             [pa.array(did), pa.array(np.full(len(did), whole)), pa.array(first.astype(np.int64)), pa.array((first + n - 1 + length).astype(np.int64))],
@@ -159,6 +175,12 @@ def _refine(length: int):
             if not batch.num_rows:
                 continue
             b, s, did, windows = (batch.column(i).to_numpy() for i in range(4))
+            marked = windows < 0
+            if marked.any():
+                yield emit(did[marked], windows[marked], True)
+                b, s, did, windows = (x[~marked] for x in (b, s, did, windows))
+                if not len(b):
+                    continue
             new_bucket = np.concatenate([[bucket is None or b[0] != bucket], b[1:] != b[:-1]])
             leader = new_bucket | np.concatenate([[span is None or s[0] != span], s[1:] != s[:-1]])
             bucket, span = b[-1], s[-1]
