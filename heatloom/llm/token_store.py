@@ -37,7 +37,7 @@ from heatloom.llm.text import SPACES, buffers, chunks
 
 END_ID, BLOCK_IDS, SAMPLE = 2, 1 << 20, 64
 #: Words that an encoder remembers; it starts afresh beyond.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 STORE = (
     "shard int, block int, doc_ids array<bigint>, n_docs int, n_ids bigint, width int, low_bits int, "
