@@ -39,7 +39,7 @@ from heatloom.functions.tables import materialize
 from heatloom.llm.text import chunks
 
 LENGTH, GRAM, CELLS = 100, 32, 2
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _RANDOM = np.random.default_rng(20240229).integers(1, 2**63, (3, 256), dtype=np.uint64)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 #: Bytes that separate words: white space, or everything in ASCII but letters and digits.
 SPACES = bytes([9, 10, 11, 12, 13, 32])
 NOT_ALNUM = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def lowered_table(separators: bytes) -> bytes:
