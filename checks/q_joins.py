@@ -176,7 +176,7 @@ def _(v):
 
 @query(
     "subtract_meter",
-    """WITH m AS (SELECT * FROM meters WHERE day(date) IN (SELECT day(date) FROM meters WHERE new_id = 'A1/T0'
+    """WITH m AS (SELECT * FROM meters WHERE new_id NOT IN ('A1/T0', 'A1/T1') OR day(date) IN (SELECT day(date) FROM meters WHERE new_id = 'A1/T0'
       INTERSECT SELECT day(date) FROM meters WHERE new_id = 'A1/T1'))
     SELECT * FROM m WHERE new_id <> 'A1/T0' UNION ALL
     SELECT a.adresse, 'Rest', a.new_id, a.date, a.Val, a.diff - b.diff FROM (SELECT * FROM m WHERE new_id = 'A1/T0') a
@@ -185,9 +185,11 @@ def _(v):
     "Val diff",
 )
 def _(v):
-    first, second = (v.meters.filter(F.col("new_id") == m).select("date") for m in ("A1/T0", "A1/T1"))
-    both = first.intersect(second)
-    return joins.subtract_meter(v.meters.join(both, "date", "left_semi"), "A1/T0", "A1/T1", "Rest")
+    first, second = (v.meters.filter(F.col("new_id") == m) for m in ("A1/T0", "A1/T1"))
+    both = first.select("date").intersect(second.select("date"))  # only the two meters are cut to common dates
+    pair = first.unionByName(second).join(both, "date", "left_semi").select(v.meters.columns)
+    others = v.meters.filter(~F.col("new_id").isin("A1/T0", "A1/T1"))
+    return joins.subtract_meter(others.unionByName(pair), "A1/T0", "A1/T1", "Rest")
 
 
 @query(

@@ -71,7 +71,22 @@ def _(v):
     return forecast.predict_long(df, models, ["diff(t-1)"], s=D)
 
 
-@query("tree_forecast")
+@query(
+    "tree_forecast",
+    """SELECT id, datetime, h, y, y AS y_hat FROM (SELECT id, datetime, 0 AS h, CAST(CASE source WHEN 's1' THEN 20 ELSE 10 END AS DOUBLE) AS y FROM readings
+      UNION ALL SELECT id, datetime, 1, CAST(CASE source WHEN 's1' THEN 4 ELSE 5 END AS DOUBLE) FROM readings)""",
+    "readings",
+    "y y_hat",
+    "h",
+)
+def _(v):
+    """Targets with one step, which a tree with one inner node has to hit."""
+    flag = (F.col("source") == "s1").cast("double")
+    df = v.readings.select("id", "datetime", flag.alias("flag"), (10 + 10 * flag).alias("diff"), (5 - flag).alias("diff(t+1)"))
+    return forecast.predict_long(df, forecast.tree_forecast(df, ["flag"], 2, depth=1), ["flag"], s=D)
+
+
+@query("tree_forecast_lags")
 def _(v):
     df = lagged(v, 3, 2)
     names = [f"diff(t-{i})" for i in (1, 2, 3)]

@@ -175,8 +175,9 @@ def _(v):
 
 @query(
     "recipe_retail",
-    """WITH s AS (SELECT * FROM (SELECT *, store_nbr || '_' || item_nbr AS traj_id FROM sales
-        WHERE date >= TIMESTAMP '1997-01-01' AND date < TIMESTAMP '1998-06-01')
+    """WITH sold AS (SELECT *, store_nbr || '_' || item_nbr AS traj_id FROM sales
+        WHERE date >= TIMESTAMP '1997-01-01' AND date < TIMESTAMP '1998-06-01'),
+    s AS (SELECT * FROM sold
       QUALIFY min(unit_sales) OVER (PARTITION BY traj_id) >= 0),
     g AS (SELECT *, unnest(generate_series(date, coalesce(n - INTERVAL 1 DAY, date), INTERVAL 1 DAY)) AS day
       FROM (SELECT *, lead(date) OVER (PARTITION BY traj_id ORDER BY date) AS n FROM s)),
@@ -185,7 +186,7 @@ def _(v):
     SELECT r.*, traj_id || '_' || strftime(r.date, '%Y-%m-%d') AS unique_id, coalesce(o.oil, -1) AS oil, city, state, family, class,
       coalesce(t.transactions, -1) AS transactions, isodow(r.date) - 1 AS day_of_week, day(r.date) AS day_of_month, month(r.date) AS month,
       coalesce(nh.d, '') AS national_hol, coalesce(rh.d, '') AS regional_hol, coalesce(lh.d, '') AS local_hol
-    FROM r LEFT JOIN (SELECT date, last_value(oil IGNORE NULLS) OVER (ORDER BY date) AS oil FROM (SELECT DISTINCT date FROM r)
+    FROM r LEFT JOIN (SELECT date, last_value(oil IGNORE NULLS) OVER (ORDER BY date) AS oil FROM (SELECT DISTINCT date FROM sold)
         LEFT JOIN oil USING (date)) o ON r.date = o.date
     LEFT JOIN stores USING (store_nbr) LEFT JOIN items USING (item_nbr)
     LEFT JOIN transactions t ON r.date = t.date AND r.store_nbr = t.store_nbr

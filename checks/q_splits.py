@@ -306,30 +306,30 @@ def _(v):
     return v.readings.withColumns(weather).select("id", "datetime", *feature_columns(4))
 
 
-_OU = """SELECT id, datetime, diff, p + 0.7 * (mu - p) AS diff_n, p + 0.7 * (mu - p) + 0.7 * (mu - (p + 0.7 * (mu - p))) AS "diff(t+1)_n"
-    FROM (SELECT id, datetime, diff, lag(diff) OVER (PARTITION BY id ORDER BY datetime) AS p, avg(diff) OVER () AS mu FROM readings)"""
+_NAIVE = """SELECT id, datetime, diff, p AS diff_n, p AS "diff(t+1)_n"
+    FROM (SELECT id, datetime, diff, lag(diff) OVER (PARTITION BY id ORDER BY datetime) AS p FROM readings)"""
 
 
-@query("noise_forecast", _OU, "readings", "diff diff_n diff(t+1)_n")
+@query("persistence_forecast", _NAIVE, "readings", "diff diff_n diff(t+1)_n")
 def _(v):
-    return scaling.noise_forecast(readings(v), ["diff"], 2, 0.0, s=D)
+    return scaling.persistence_forecast(readings(v), ["diff"], 2, s=D)
 
 
 @query(
     "noise_rmse",
-    f"SELECT f AS feature, sqrt(avg((diff - diff_n) ** 2)) AS rmse FROM ({_OU}), (VALUES ('diff'), ('mean')) AS t(f) GROUP BY f",
+    f"SELECT f AS feature, sqrt(avg((diff - diff_n) ** 2)) AS rmse FROM ({_NAIVE}), (VALUES ('diff'), ('mean')) AS t(f) GROUP BY f",
     "readings",
     "rmse",
 )
 def _(v):
-    return scaling.noise_rmse(scaling.noise_forecast(readings(v), ["diff"], 2, 0.0, s=D), ["diff"])
+    return scaling.noise_rmse(scaling.persistence_forecast(readings(v), ["diff"], 2, s=D), ["diff"])
 
 
 @query(
     "swap_in_noise",
     f"""SELECT s.id, s.datetime, split, CASE WHEN split = 'test' THEN diff_n ELSE s.diff END AS diff,
       CASE WHEN split = 'test' THEN "diff(t+1)_n" ELSE nxt END AS "diff(t+1)"
-    FROM split_rows s JOIN ({_OU}) o USING (id, datetime)
+    FROM split_rows s JOIN ({_NAIVE}) o USING (id, datetime)
     JOIN (SELECT id, datetime, lead(diff) OVER (PARTITION BY id ORDER BY datetime) AS nxt FROM readings) l USING (id, datetime)
     WHERE split <> 'test' OR diff_n IS NOT NULL""",
     "split_rows",
@@ -337,7 +337,7 @@ def _(v):
 )
 def _(v):
     df = materialize(frames.lag_lead_columns(readings(v), 0, 2, D))
-    df = scaling.noise_forecast(df, ["diff"], 2, 0.0, s=D)
+    df = scaling.persistence_forecast(df, ["diff"], 2, s=D)
     return scaling.swap_in_noise(splits.split_time(df, 0.8, D), ["diff"], 2)
 
 

@@ -48,14 +48,3 @@ def padded(col: Column | str, width: int) -> Column:
     text = F.col(col).cast("string") if isinstance(col, str) else col.cast("string")
     too_long = F.raise_error(F.concat(F.lit(f"more than {width} digits: "), text)).cast("string")
     return F.when(F.length(text) > width, too_long).otherwise(F.lpad(text, width, "0"))
-
-
-def ou_mean_path(x: Column, mu: Column, steps: int, sigma: float, seed: int, theta: float = 0.7) -> list[Column]:
-    """``steps`` successive values that revert to ``mu`` with rate ``theta`` and noise ``sigma``."""
-    out = []
-    for k in range(steps):
-        x = x + theta * (mu - x)
-        if sigma:
-            x = x + F.lit(sigma) * F.randn(seed + k)
-        out.append(x)
-    return out

@@ -89,10 +89,20 @@ def ids_in_both(a: DataFrame, b: DataFrame, col: str = "id") -> DataFrame:
 
 
 def asof_ffill_join(
-    df: DataFrame, series: DataFrame, on: str = "date", value: str = "oil", default: float = -1.0, by: str = "id"
+    df: DataFrame,
+    series: DataFrame,
+    on: str = "date",
+    value: str = "oil",
+    default: float = -1.0,
+    by: str = "id",
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
-    """Value of a price series on each date, or the last one on an earlier date of ``df``, else ``default``."""
-    calendar = df.select(on).distinct().join(series.select(on, value), on, "left").withColumn("_one", F.lit(0))
+    """Value of a price series on each date, or the last one on an earlier date of ``calendar``, else ``default``.
+
+    ``calendar`` lists the dates over which values are carried, by default those of ``df``; other dates have ``default``.
+    """
+    days = (df if calendar is None else calendar).select(on).distinct()
+    calendar = days.join(series.select(on, value), on, "left").withColumn("_one", F.lit(0))
     dates = Series("day", id="_one", time=on).known(calendar, F.col(value), before="_past")
     filled = dates.select(on, F.coalesce(value, F.col("_past.value")).alias(value))
     return spread_join(df, filled, on, by=by).withColumn(value, F.coalesce(value, F.lit(default)))
@@ -161,7 +171,18 @@ def subtract_meter(
 
 
 def reorder_by_permutation(df: DataFrame, perm: DataFrame, position: str = "position", out: str = "day") -> DataFrame:
-    """Original zero-based place of each shuffled row; ``perm`` lists the one-based places in shuffled order."""
+    """Original zero-based place of each shuffled row; ``perm`` lists the one-based places in shuffled order.
+
+    A row whose place is not listed fails the query.
+    """
     places = perm.select(F.col("position").alias(position), (F.col("value") - 1).alias(out))
     by = [c for c in df.columns if c != position] or [position]
-    return spread_join(df, places, position, "inner", by=by[:1])
+    return require_listed(spread_join(df, places, position, by=by[:1]), {out: position})
+
+
+def require_listed(df: DataFrame, found: dict[str, str]) -> DataFrame:
+    """Fail the query on a row where a joined column is null, naming the key that was not listed."""
+    for col, key in found.items():
+        missing = F.raise_error(F.concat(F.lit(f"no {col} is listed for {key} "), F.col(key).cast("string")))
+        df = df.withColumn(col, F.when(F.col(col).isNull(), missing.cast(df.schema[col].dataType)).otherwise(F.col(col)))
+    return df

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heatloom.functions.order import hash_order, quantiles
+from heatloom.functions.order import quantiles
 from heatloom.functions.series import DAILY, HOURLY, SLICE, Series
 from heatloom.functions.skew import spread_join
 
@@ -312,5 +312,11 @@ def time_window_slice(df: DataFrame, days: int = 14, s: Series = DAILY) -> DataF
 
 
 def sample_rows(df: DataFrame, n: int = 10_000, keys: Sequence[str] = ("id", "datetime"), seed: int = 42) -> DataFrame:
-    """At most ``n`` rows, chosen by a seeded hash of their key; the same rows every time."""
-    return hash_order(df, list(keys), seed).filter(F.col("_rank") < n).drop("_rank", "_size")
+    """At most ``n`` rows, chosen by a seeded hash of their key (unique per row); the same rows every time.
+
+    Only keys are sorted, and of those each task keeps the first ``n``.
+    """
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    chosen = df.select(*keys, F.md5(text.cast("binary")).alias("_hash")).orderBy("_hash", *keys).limit(n).drop("_hash")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return df.alias("a").join(chosen.alias("b"), same, "left_semi")

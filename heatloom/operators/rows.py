@@ -65,10 +65,14 @@ def drop_titles(df: DataFrame, titles: Sequence[str], col: str = "Title") -> Dat
 
 def replace_titles(df: DataFrame, pairs: Sequence[tuple[str, str]], col: str = "Title") -> DataFrame:
     """Replace titles one pair after the other, so that a later pair sees the result of an earlier one."""
-    value: Column = F.col(col)
-    for old, new in pairs:
-        value = F.when(value == old, F.lit(new)).otherwise(value)
-    return df.withColumn(col, value)
+    final: dict[str, str] = {}
+    for title in dict.fromkeys(old for old, _ in pairs):
+        final[title] = title
+        for old, new in pairs:
+            if final[title] == old:
+                final[title] = new
+    changed = [x for old, new in final.items() if new != old for x in (F.lit(old), F.lit(new))]
+    return df.withColumn(col, F.coalesce(F.create_map(*changed)[F.col(col)], F.col(col))) if changed else df
 
 
 def base_id(df: DataFrame, mode: str = "two", id_col: str = "id", out: str = "base_id") -> DataFrame:

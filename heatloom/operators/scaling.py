@@ -1,4 +1,4 @@
-"""Encoding, scaling and augmentation.
+"""Encoding and scaling.
 
 A fitted scaler is a table: one row in all, or one per series, with ``<col>_shift`` and ``<col>_scale`` columns, so
 that scaled = (x - shift) / scale.
@@ -11,32 +11,49 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.functions.columns import base_of, ou_mean_path
+from heatloom.functions.columns import base_of
 from heatloom.functions.order import sorted_offset
 from heatloom.functions.series import DAILY, Series
 from heatloom.functions.skew import spread_join
 
-MAX_CATEGORIES = 1000
+def _category(col: str, unknown: str | None) -> Column:
+    value = F.col(col).cast("string")
+    return value if unknown is None else F.coalesce(value, F.lit(unknown))
 
 
-def label_encode(df: DataFrame, cols: Sequence[str], by: str = "datetime", unknown: str | None = None) -> DataFrame:
-    """Replace categories by their position in alphabetical order; null stays null unless ``unknown`` names it."""
+def fit_codes(train: DataFrame, cols: Sequence[str], unknown: str | None = None) -> dict[str, DataFrame]:
+    """For each column a table of its categories (``_cat``) and their positions in alphabetical order (``_code``)."""
+    out = {}
     for c in cols:
-        value = F.col(c).cast("string")
-        if unknown is not None:
-            value = F.coalesce(value, F.lit(unknown))
-        df = df.withColumn("_cat", value)
-        known = df.filter(F.col("_cat").isNotNull()).select("_cat").distinct()
-        codes = sorted_offset(known, ["_cat"], F.lit(1).cast("long"), "_code")
-        df = spread_join(df, codes, "_cat", by=by).withColumn(c, F.col("_code")).drop("_cat", "_code")
+        known = train.select(_category(c, unknown).alias("_cat")).filter(F.col("_cat").isNotNull()).distinct()
+        out[c] = sorted_offset(known, ["_cat"], F.lit(1).cast("long"), "_code").select("_cat", "_code")
+    return out
+
+
+def label_encode(
+    df: DataFrame,
+    cols: Sequence[str],
+    by: str = "datetime",
+    unknown: str | None = None,
+    fitted: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """Replace categories by their position in alphabetical order; null stays null unless ``unknown`` names it.
+
+    With ``fitted`` (see ``fit_codes``) the positions are those of the frame it was fitted on, and a category that
+    frame did not have fails the query.
+    """
+    codes = fitted if fitted is not None else fit_codes(df, cols, unknown)
+    for c in cols:
+        df = spread_join(df.withColumn("_cat", _category(c, unknown)), codes[c], "_cat", by=by)
+        unseen = F.raise_error(F.concat(F.lit(f"{c} was not fitted on "), F.col("_cat"))).cast("bigint")
+        code = F.when(F.col("_cat").isNotNull() & F.col("_code").isNull(), unseen).otherwise(F.col("_code"))
+        df = df.withColumn(c, code).drop("_cat", "_code")
     return df
 
 
 def categories(df: DataFrame, col: str) -> list[str]:
-    """Sorted categories of a column that becomes one column per category; too many are an error."""
-    found = df.select(F.col(col).cast("string").alias("c")).distinct().limit(MAX_CATEGORIES + 1).collect()
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"{col} has more than {MAX_CATEGORIES} categories; encode it with label_encode")
+    """Sorted categories of a column that becomes one column per category."""
+    found = df.select(F.col(col).cast("string").alias("c")).distinct().collect()
     return sorted((r["c"] for r in found if r["c"] is not None))
 
 
@@ -45,11 +62,12 @@ def one_hot(
 ) -> tuple[DataFrame, list[str]]:
     """Replace each column by 0/1 columns ``<col>_<value>``, one per category, and list their names.
 
-    Categories are those of ``df`` unless ``values`` fixes them; a category that is not listed gives zeros.
+    Categories are those of ``df`` unless ``values`` fixes them, if only as an empty list; a category that is not
+    listed gives zeros.
     """
     flags = {}
     for c in cols:
-        for v in (values or {}).get(c) or categories(df, c):
+        for v in values[c] if values is not None and c in values else categories(df, c):
             flags[f"{c}_{v}"] = F.coalesce(F.col(c).cast("string") == v, F.lit(False)).cast("double")
     return df.withColumns(flags).drop(*cols), list(flags)
 
@@ -176,27 +194,14 @@ def column_transformer(
     return rows.select(*kept, *[F.col(f"`{c}`") for c in features], target), features
 
 
-def noise_forecast(
-    df: DataFrame,
-    cols: Sequence[str],
-    n_future: int,
-    sigma: float = 0.3,
-    seed: int = 42,
-    s: Series = DAILY,
-) -> DataFrame:
-    """Forecast-like columns ``<f>_n``, ``<f>(t+i)_n`` that revert from the previous row's value to the mean.
+def persistence_forecast(df: DataFrame, cols: Sequence[str], n_future: int, s: Series = DAILY) -> DataFrame:
+    """Forecasts ``<f>_n``, ``<f>(t+i)_n`` of covariates that repeat the previous row's value at every step.
 
-    The noise makes them imperfect; with ``sigma`` zero they follow the mean path exactly. The first row of a series
-    has none.
+    The first row of a series has none.
     """
-    mu = df.agg(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
-    names = {f"_x_{c}": F.col("_prev")[c].cast("double") for c in cols}
-    rows = s.adjacent(df, list(cols)).withColumns(names)
-    paths = {}
-    for j, c in enumerate(cols):
-        values = ou_mean_path(F.col(f"_x_{c}"), mu[c], n_future, sigma, seed + 1000 * j)
-        paths.update({noisy(c, i): v for i, v in enumerate(values)})
-    return rows.withColumns(paths).drop("_prev", *names)
+    rows = s.adjacent(df, list(cols))
+    paths = {noisy(c, i): F.col("_prev")[c].cast("double") for c in cols for i in range(n_future)}
+    return rows.withColumns(paths).drop("_prev")
 
 
 def noisy(col: str, i: int) -> str:
@@ -204,7 +209,7 @@ def noisy(col: str, i: int) -> str:
 
 
 def noise_rmse(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Root mean squared error of each noisy column against the recorded one, and their mean."""
+    """Root mean squared error of each forecast column against the recorded one, and their mean."""
     errors = [F.sqrt(F.avg(F.pow(F.col(c) - F.col(noisy(c, 0)), 2))).alias(c) for c in cols]
     rows = df.agg(*errors).unpivot([], list(cols), "feature", "rmse")
     return rows.unionByName(rows.agg(F.lit("mean").alias("feature"), F.avg("rmse").alias("rmse")))
@@ -213,9 +218,9 @@ def noise_rmse(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def swap_in_noise(
     df: DataFrame, cols: Sequence[str], n_future: int, suffix: str = "(t+{i})"
 ) -> DataFrame:
-    """In the test split, covariates from the current step on are replaced by their noisy versions.
+    """In the test split, covariates from the current step on are replaced by their forecasts.
 
-    Rows left with a null are dropped from test; the noisy columns go.
+    Rows left with a null are dropped from test; the forecast columns go.
     """
     noise = [(c if i == 0 else c + suffix.format(i=i), noisy(c, i)) for c in cols for i in range(n_future)]
     test = F.col("split") == "test"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatloom.functions.order import hash_order
-from heatloom.functions.series import DAILY, Series
+from heatloom.functions.series import DAILY, SLICE, Series
 from heatloom.functions.skew import spread_join
 
 SPLITS = ("train", "val", "test")
@@ -171,8 +171,12 @@ def select_split(df: DataFrame, split: str) -> DataFrame:
 
 
 def xy_columns(df: DataFrame, features: Sequence[str], n_out: int, target: str = "diff", s: Series = DAILY) -> DataFrame:
-    """Id, time, split, feature columns without targets, and target columns, in order of id and time."""
+    """Id, time, split, feature columns without targets, and target columns.
+
+    Rows of a series and time slice lie together in order of time; the table as a whole is not sorted.
+    """
     targets = [target] + [f"{target}(t+{i})" for i in range(1, n_out)]
     inputs = sorted(set(features) - set(targets))
     names = [s.id, s.time, "split", *inputs, *targets]
-    return df.select(*[F.col(f"`{c}`") for c in names]).orderBy(s.id, s.time)
+    rows = s.sliced(df).repartition(s.id, SLICE).sortWithinPartitions(s.id, s.time)
+    return rows.select(*[F.col(f"`{c}`") for c in names])

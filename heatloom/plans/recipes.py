@@ -54,10 +54,7 @@ def recipe_features(
 
 
 def recipe_training(features: DataFrame, config: RunConfig, s: Series) -> tuple[DataFrame, list[str]]:
-    """Lags, complete rows, one energy type, encoded categories and cycles; also the final feature names.
-
-    The ``building_noise`` variant adds noisy forecasts of the weather, which are not listed among the features.
-    """
+    """Lags, complete rows, one energy type, encoded categories and cycles; also the final feature names."""
     wanted = config.features
     df = frames.lag_lead_columns(features, config.lag_in, config.lag_out, s)
     df = frames.drop_incomplete_lags(df, config.lag_in, config.lag_out)
@@ -72,8 +69,6 @@ def recipe_training(features: DataFrame, config: RunConfig, s: Series) -> tuple[
     cycles = [c for c in CYCLIC if c in wanted]
     if cycles:
         df = rows.cyclic_encode(df, cycles)
-    if config.noisy_features:
-        df = scaling.noise_forecast(df, config.noisy_features, config.n_future, config.sigma, config.seed, s)
     plain = [c for c in wanted if c not in cats and c not in cycles]
     return df, plain + names + [f"{c}_{w}" for c in cycles for w in ("sin", "cos")]
 
@@ -97,7 +92,6 @@ def recipe_prepare(features: DataFrame, config: RunConfig, s: Series) -> tuple[D
         return df, names
     df = materialize(df)
     cont = [c for c in names if c in CONTINUOUS + CONTINUOUS_RES[config.res]]
-    cont += [scaling.noisy(c, i) for c in config.noisy_features for i in range(config.n_future)]
     if config.scale_mode == "individual":
         return scaling.standardize_per_series(df, "diff", cont, config.scaler, s).drop("base_id"), names
     if config.scale_mode != "all":
@@ -200,9 +194,10 @@ def recipe_traffic(
     hourly = cells.groupBy("position", "row", "time_on_day").agg(F.avg("value").alias("values"))
     hourly = joins.reorder_by_permutation(hourly, perm, out="sensor_day")
     kinds = weekdays.select("position", F.col("value").alias("day_of_week"))
-    hourly = spread_join(hourly, kinds, "position", "inner", by=["row", "time_on_day"])
+    hourly = spread_join(hourly, kinds, "position", by=["row", "time_on_day"])
     names = stations.select(F.col("position").alias("row"), F.col("value").alias("id"))
-    hourly = spread_join(hourly, names, "row", "inner", by=["sensor_day", "time_on_day"]).drop("row", "position")
+    hourly = spread_join(hourly, names, "row", by=["sensor_day", "time_on_day"])
+    hourly = joins.require_listed(hourly, {"day_of_week": "position", "id": "row"}).drop("row", "position")
     start = F.col("time_on_day") + F.col("sensor_day") * 24
     df = hourly.withColumns({"hours_from_start": start, "_at": F.timestamp_seconds(start * 3600)})
     s = Series("hour", time="_at")
@@ -233,16 +228,18 @@ def recipe_retail(
 ) -> DataFrame:
     """Daily sales per store and item on a full grid, with oil price, store, item, calendar and holidays.
 
+    The oil price is carried over the days on which anything was sold; other days have none (-1).
     Items of a store that ever had a negative sale are left out.
     """
     kind = sales.schema["date"].dataType
     day = F.col("date")
     df = sales.filter((day >= F.lit(start).cast(kind)) & (day < F.lit(end).cast(kind)))
+    calendar = df.select("date").distinct()  # days with any sale, of returned items too
     df = rows.composite_key(df, ["store_nbr", "item_nbr"], out="traj_id")
     df = profile.filter_groups_min(df, "traj_id", "unit_sales", 0)
     df = materialize(df)
     df = materialize(cleaning.resample_last(df, ["store_nbr", "item_nbr", "onpromotion"]))
-    df = joins.asof_ffill_join(df, tables.oil, by="traj_id")
+    df = joins.asof_ffill_join(df, tables.oil, by="traj_id", calendar=calendar)
     df = joins.star_enrich(df, tables.stores, tables.items, tables.transactions)
     df = rows.calendar_parts(df, ["day_of_week", "day_of_month", "month"], "date")
     df = joins.scoped_holidays(df, tables.holidays)
@@ -253,7 +250,8 @@ def recipe_retail(
 def scale_roles(df: DataFrame, roles: Sequence[Role], unscaled: Sequence[str] = ()) -> DataFrame:
     """Fill and scale the inputs of a role-declared dataset by what its train rows show.
 
-    The target is scaled per base series, other numbers over all, categories become codes.
+    The target is scaled per base series, other numbers over all, categories become the codes that train gives them; a
+    category that train does not have fails the query.
     """
     id_col, target = (column_with_role(list(roles), r) for r in ("id", "target"))
     real = [c for c in columns_of(list(roles), "real", ("id", "time", "target")) if c not in unscaled]
@@ -266,7 +264,7 @@ def scale_roles(df: DataFrame, roles: Sequence[Role], unscaled: Sequence[str] =
     df = scaling.apply_scaler(df, params, [target], "base_id", spread=spread).drop("base_id")
     if real:
         df = scaling.apply_scaler(df, scaling.fit_scaler(train, real), real)
-    return scaling.label_encode(df, cat, by=spread) if cat else df
+    return scaling.label_encode(df, cat, by=spread, fitted=scaling.fit_codes(train, cat)) if cat else df
 
 
 def recipe_windowing(

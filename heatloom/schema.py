@@ -99,7 +99,7 @@ def required_features(dataset: str, res: str, requested: list[str]) -> list[str]
     """Which columns must be present in a row, per dataset variant."""
     if dataset == "meta":
         return feature_columns(8)
-    if dataset in ("building", "building_noise"):
+    if dataset == "building":
         return feature_columns(10 if res == "day" else 15)
     if dataset in ("all", "missing_data_90"):
         return sorted(requested)
@@ -245,7 +245,6 @@ class RunConfig:
     scaler: str = "standard"
     scale_mode: str = "individual"
     excluded_ids: tuple[str, ...] = field(default=())
-    sigma: float = 0.3
     seed: int = 42
 
     def __post_init__(self):
@@ -261,10 +260,3 @@ class RunConfig:
     def features(self) -> list[str]:
         return sorted(self.feature_list) if self.feature_list else feature_columns(self.feature_code)
 
-    @property
-    def noisy_features(self) -> list[str]:
-        """Weather columns that get forecast-like noise."""
-        if self.dataset != "building_noise":
-            return []
-        weather = WEATHER_DAILY if self.res == "day" else WEATHER_HOURLY
-        return [c for c in weather if c in self.features]

@@ -119,10 +119,13 @@ def test_series_without_scaler_stay(spark):
     assert rows_of(out, "id", "y_hat") == [("a-1", 7.0), ("b", 3.0)]
 
 
-def test_one_hot_limits_categories(spark, monkeypatch):
-    monkeypatch.setattr(scaling, "MAX_CATEGORIES", 5)
-    with pytest.raises(ValueError):
-        scaling.one_hot(spark.range(10), ["id"])
+def test_one_hot_has_no_limit(spark):
+    out, names = scaling.one_hot(spark.range(1500), ["id"])
+    assert len(names) == 1500 and out.columns == names
+    assert scaling.one_hot(spark.range(5), ["id"], {"id": []})[1] == []
+
+
+def test_one_hot_of_listed_values(spark):
     out, names = scaling.one_hot(spark.range(3), ["id"], {"id": ["1", "9"]})
     assert names == ["id_1", "id_9"] and rows_of(out) == [(0.0, 0.0), (0.0, 0.0), (1.0, 0.0)]
 
@@ -133,12 +136,30 @@ def test_label_encode_unknown(spark):
     assert rows_of(scaling.label_encode(df, ["c"], by="c", unknown="unknown")) == [(0,), (1,), (2,)]
 
 
-def test_noise_is_seeded_and_reverts(spark):
-    df = frame(spark, [("a", d, d, d) for d in range(50)])
-    one = scaling.noise_forecast(df, ["diff"], 3, 0.3, 1, S).select("id", "datetime", "diff_n", "`diff(t+2)_n`")
-    first = one.filter("diff_n is null").count()
-    assert first == 1
-    assert one.agg(F.avg(F.abs(F.col("`diff(t+2)_n`") - 24.5))).collect()[0][0] < 2
+def test_codes_come_from_train(spark):
+    train = spark.createDataFrame([("b",), ("d",)], "c string")
+    fitted = scaling.fit_codes(train, ["c"])
+    assert rows_of(scaling.label_encode(train, ["c"], by="c", fitted=fitted)) == [(0,), (1,)]
+    other = spark.createDataFrame([("a",), ("d",)], "c string")
+    with pytest.raises(Exception, match="was not fitted on"):
+        scaling.label_encode(other, ["c"], by="c", fitted=fitted).collect()
+
+
+def test_persistence_repeats_the_row_before(spark):
+    df = frame(spark, [("a", d, d, d) for d in range(5)])
+    got = scaling.persistence_forecast(df, ["diff"], 3, S).select("diff", "diff_n", "`diff(t+2)_n`")
+    assert rows_of(got) == [(0.0, None, None)] + [(float(d), d - 1.0, d - 1.0) for d in range(1, 5)]
+
+
+def test_titles_are_replaced_in_one_step(spark):
+    from heatloom.operators import rows
+
+    df = spark.createDataFrame([("t0",), ("t7",), ("x",), (None,)], "Title string")
+    pairs = [(f"t{i}", f"t{i + 1}") for i in range(60)]
+    out = rows.replace_titles(df, pairs)
+    assert sorted(map(str, (r[0] for r in out.collect()))) == ["None", "t60", "t60", "x"]
+    back = rows.replace_titles(df, [("x", "t0"), ("t0", "y"), ("y", "t7")])
+    assert sorted(map(str, (r[0] for r in back.collect()))) == ["None", "t7", "t7", "t7"]
 
 
 # ---- schema ----------------------------------------------------------------------------------------------------
