@@ -41,7 +41,8 @@ def quantiles(
     The built-in exact percentile keeps all distinct values of a group in one buffer. Here a mergeable sketch first
     brackets each wanted rank; values outside the bracket are only counted (before the shuffle), and only the few
     distinct values inside it are ranked, so a group holding most of the rows costs no more than the others. If a
-    rank were ever outside its bracket the query fails rather than returning a neighbour.
+    rank were ever outside its bracket the query fails rather than returning a neighbour. Equal values of a group are
+    counted before rows meet their bracket, so a group of mostly equal values is spread like any other.
 
     Without ``by``, or where the caller knows that there are only a few groups (columns, splits), the sketch is
     handed to the rows as it is and no row is shuffled.
@@ -59,9 +60,10 @@ def quantiles(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", edges, accuracy).alias("_edges"),
     )
+    rows = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
     if not keys:
         whole = sketch.select(F.struct("*")).scalar()
-        marked = rows.withColumn("_s", whole).select("_v", "_s._n", "_s._edges")
+        marked = rows.withColumn("_s", whole).select("_v", "_w", "_s._n", "_s._edges")
     elif few_groups:
         marked = rows.join(F.broadcast(sketch), keys)
     else:
@@ -75,7 +77,7 @@ def quantiles(
         zone = zone + (v > low).cast("int") + (v > high).cast("int")
     counted = (
         marked.groupBy(*keys, "_n", zone.alias("_zone"), F.when(inside, v).alias("_exact"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .agg(F.sum("_w").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
     w = Window.partitionBy(*(keys or ["_n"])).orderBy("_zone", F.col("_exact").asc_nulls_first())
     counted = counted.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))

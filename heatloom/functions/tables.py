@@ -66,3 +66,11 @@ def materialize(df: DataFrame) -> DataFrame:
         else:
             spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle(df: DataFrame, since: list[str]) -> DataFrame:
+    """Store ``df`` and delete what it was made of: the tables stored after ``since`` (see ``stored_paths``) was taken."""
+    out = materialize(df)
+    mine = stored_paths()[-1]
+    drop_stored(df.sparkSession, [p for p in stored_paths() if p not in since and p != mine])
+    return out

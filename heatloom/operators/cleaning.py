@@ -100,17 +100,28 @@ def drop_positive_jumps(df: DataFrame, s: Series = DAILY, factor: float = 50, co
     return rows.filter(F.col(col) < F.col("_median") * F.lit(factor)).drop("_median")
 
 
-def grid_between(start: Column, end: Column, s: Series) -> Column:
-    """Array of grid points from ``start`` to ``end``."""
-    return F.sequence(start, end, s.interval)
+GRID_BLOCK = 4096
+
+
+def explode_grid(rows: DataFrame, start: str, stop: Column, out: str, s: Series) -> DataFrame:
+    """A row for each grid point from column ``start`` to ``stop``, or for ``start`` alone if that is not later.
+
+    Long gaps are cut into blocks first, so that no row ever holds more than ``GRID_BLOCK`` points of one block.
+    """
+    wide = F.expr(f"interval {s.count * GRID_BLOCK} {s.step}")
+    inner = F.expr(f"interval {s.count * (GRID_BLOCK - 1)} {s.step}")
+    later = F.col("_stop") > F.col(start)
+    rows = rows.withColumn("_stop", stop)
+    rows = rows.withColumn("_block", F.explode(F.when(later, F.sequence(F.col(start), F.col("_stop"), wide)).otherwise(F.array(start))))
+    last = F.least(F.col("_block") + inner, F.col("_stop"))
+    points = F.when(later, F.sequence(F.col("_block"), last, s.interval)).otherwise(F.array("_block"))
+    return rows.withColumn(out, F.explode(points)).drop("_stop", "_block")
 
 
 def fill_grid(df: DataFrame, s: Series = DAILY, keep: Sequence[str] = ()) -> DataFrame:
     """Insert a row at every grid point between two readings; ``keep`` columns repeat, others are null."""
     rows = s.adjacent(df, [], previous=None, following="_next")
-    stop = F.col("_next")[s.time] - s.interval
-    points = F.when(stop > F.col(s.time), grid_between(F.col(s.time), stop, s)).otherwise(F.array(s.time))
-    rows = rows.withColumn("_point", F.explode(points))
+    rows = explode_grid(rows, s.time, F.col("_next")[s.time] - s.interval, "_point", s)
     own = F.col("_point") == F.col(s.time)
     fixed = {s.id, s.time, *keep}
     rows = rows.withColumns({c: F.when(own, F.col(c)) for c in df.columns if c not in fixed})
@@ -222,7 +233,6 @@ def interpolate_linear(
     before, after = F.coalesce("_p", "_k0"), F.coalesce("_q", "_k1")
     own = F.when(c.isNotNull(), F.struct(t.alias("time"), c.alias("value")))
     stop = F.coalesce(F.col("_next")[s.time], F.col("_n1")) - s.interval
-    points = F.when(stop > t, F.sequence(t, stop, s.interval)).otherwise(F.array(t))
     rows = rows.select(
         s.id,
         *keep,
@@ -232,8 +242,9 @@ def interpolate_linear(
         own.alias("_own"),
         before.alias("_a"),
         after.alias("_b"),
-        F.explode(points).alias(s.time),
+        stop.alias("_until"),
     )
+    rows = explode_grid(rows, "_t", F.col("_until"), s.time, s).drop("_until")
     at_row = F.col(s.time) == F.col("_t")
     # the last known reading before a grid point, and the first known one at or after it
     low = F.when(at_row, F.col("_a")).otherwise(F.coalesce("_own", "_a"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heatloom.functions.order import hash_order
@@ -86,11 +86,20 @@ def split_date(
     """
     cut = F.lit(date).cast(df.schema[s.time].dataType)
     t = F.col(s.time)
-    counts = {
-        "_before": (F.count(F.when(t < cut, 1)), F.sum),
-        "_after": (F.count(F.when(t > cut, 1)), F.sum),
-    }
-    rows = s.totals(s.numbered(df), counts).drop("_total")
+    whole = Window.partitionBy(s.id)
+    # position in the series and both counts from one pass
+    rows = s.carry(
+        df,
+        {"_n": F.count(F.lit(1)), "_b": F.count(F.when(t < cut, 1)), "_a": F.count(F.when(t > cut, 1))},
+        {
+            "_offset": lambda w: F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+            "_before": lambda w: F.sum("_b").over(whole),
+            "_after": lambda w: F.sum("_a").over(whole),
+        },
+        {"_pos": lambda w: F.row_number().over(w)},
+    )
+    place = F.col("_pos").cast("long") - 1 + F.coalesce("_offset", F.lit(0))
+    rows = rows.withColumn("_pos", place).drop("_offset", SLICE)
     pos, before, after = F.col("_pos"), F.col("_before"), F.col("_after")
     last = F.floor(before * F.lit(float(train_per)))
     train = F.least(last + 1, before)
@@ -100,8 +109,8 @@ def split_date(
         "split",
         F.when((t < cut) & (pos <= last), F.when(pos < kept, "train")).when(t < cut, "val").when(t > cut, "test"),
     )
-    whole = (before == 0) | ((kept >= min_len) & (val >= min_len))
-    rows = rows.filter(F.col("split").isNotNull() & whole)
+    long_enough = (before == 0) | ((kept >= min_len) & (val >= min_len))
+    rows = rows.filter(F.col("split").isNotNull() & long_enough)
     return rows.filter((F.col("split") != "test") | (after > min_len)).drop("_pos", "_before", "_after")
 
 

@@ -1,4 +1,4 @@
-"""Cleaning chains. Stages that read their input more than once start from a stored table."""
+"""Cleaning chains. Stages that read their input more than once start from a stored table; the one before is deleted then."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions.series import DAILY, Series
-from heatloom.functions.tables import materialize
+from heatloom.functions.tables import settle, stored_paths
 from heatloom.operators.cleaning import (
     drop_flat_lines,
     drop_positive_jumps,
@@ -23,8 +23,9 @@ COLUMNS = ["id", "datetime", "diff", "value", "source"]
 
 def clean_basic(df: DataFrame, s: Series = DAILY, flat_lines: int | None = None) -> DataFrame:
     """Negatives, first readings after gaps, outliers and flat lines, in that order."""
-    df = materialize(drop_reconnect_spikes(drop_negative(df), s))
-    df = materialize(iqr_filter(df, s))
+    since = stored_paths()
+    df = settle(drop_reconnect_spikes(drop_negative(df), s), since)
+    df = settle(iqr_filter(df, s), since)
     return drop_flat_lines(df, s, flat_lines)
 
 
@@ -36,10 +37,11 @@ def clean_interpolated(
     No consumption is negative in the result; the query fails if one is.
     """
     min_gap = SPLIT_GAP[s.step] if min_gap is None else min_gap
-    df = materialize(clean_basic(df, s, flat_lines))
-    df = materialize(split_at_gaps(df, s, min_gap))
-    df = materialize(drop_negative(interpolate_linear(df, s)))
-    df = materialize(drop_positive_jumps(df, s))
+    since = stored_paths()
+    df = settle(clean_basic(df, s, flat_lines), since)
+    df = settle(split_at_gaps(df, s, min_gap), since)
+    df = settle(drop_negative(interpolate_linear(df, s)), since)
+    df = settle(drop_positive_jumps(df, s), since)
     df = split_at_gaps(df, s, 1)
     bad = F.raise_error(F.lit("negative consumption after cleaning")).cast("double")
     return df.withColumn("diff", F.when(F.col("diff") < 0, bad).otherwise(F.col("diff")))

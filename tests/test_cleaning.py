@@ -182,3 +182,26 @@ def test_chain_invariants(hot):
     # every part is a dense grid
     spans = full.groupBy("id").agg(F.count("*").alias("n"), (F.datediff(F.max("datetime"), F.min("datetime")) + 1).alias("grid"))
     assert spans.filter("n <> grid").count() == 0
+
+
+def test_gap_of_fifty_years_in_hours(spark):
+    """A wrong time stamp makes many rows, but no long array."""
+    from heatloom.functions.series import HOURLY
+    from heatloom.operators import cleaning
+
+    df = spark.sql("SELECT 'a' id, t AS datetime, 1.0D AS diff, v AS value, 's' AS source FROM VALUES (timestamp'1970-01-01', 0.0D), (timestamp'2020-01-01', 438288.0D) x(t, v)")
+    n = 438288 + 1
+    assert cleaning.fill_grid(df, HOURLY).distinct().count() == n
+    filled = cleaning.interpolate_linear(df, HOURLY)
+    assert filled.count() == n and filled.selectExpr("max(abs(value - (unix_timestamp(datetime) div 3600)))").first()[0] < 1e-6
+
+
+def test_chain_keeps_one_stored_table(spark):
+    from heatloom.functions.series import Series
+    from heatloom.functions.tables import stored_paths
+    from heatloom.plans.cleaning import clean_interpolated
+
+    df = spark.sql("SELECT concat('b', i % 3) id, date_add(date'2024-01-01', cast(i div 3 as int)) + interval 0 hour AS datetime, 1.0D + i % 5 AS diff, cast(i as double) AS value, 's' AS source FROM range(300) r(i)")
+    before = stored_paths()
+    clean_interpolated(df, Series("day"), 4, 7).count()
+    assert len(stored_paths()) == len(before) + 1
