@@ -335,9 +335,10 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     settled = materialize(texts.join(of_text, "did", "left").select("did", "text", "runs").mapInArrow(_settle(), SETTLED))
     open_ = settled.where("open_text IS NOT NULL")
     windows = open_.select("did", "open_text", "open").mapInArrow(_window_rows(length), "h1 bigint, h2 bigint, did bigint, at bigint")
-    firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("did", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # stored step by step, so that the shuffle files of a step go before the next one
+    firsts = materialize(windows.groupBy("h1", "h2").agg(F.min(F.struct("did", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = windows.join(firsts, ["h1", "h2"]).where("struct(did, at) <> first")
-    at = later.groupBy("did").agg(F.collect_list("at").alias("at"))
+    at = materialize(later.groupBy("did").agg(F.collect_list("at").alias("at")))
     finished = open_.join(at, "did", "left").select("did", "open_text", "whole", "at").mapInArrow(_finish(length), RESULT)
     columns = [c.split()[0] for c in RESULT.split(", ")]
     result = settled.where("open_text IS NULL").select(*columns).unionByName(finished)
