@@ -33,7 +33,7 @@ from heatloom.llm.places import PLACE, placed
 from heatloom.llm.text import NOT_ALNUM, chunks, lowered_table, strings, words
 
 WINDOW, SLOP, NEAR_TERMS = 10, 20, 4
-SEGMENT_BYTES, BLOCK_BYTES = 16 << 20, 64 << 20
+SEGMENT_BYTES, BLOCK_BYTES = 8 << 20, 64 << 20
 TABLE = lowered_table(NOT_ALNUM)
 
 INDEX = (
