@@ -129,11 +129,11 @@ def _(v):
     return cleaning.fill_grid(v.dirty, D, ["source"])
 
 
-def _split(source: str, gap: int) -> str:
+def _split(source: str, gap: int, unit: str = "day") -> str:
     return f"""SELECT CASE WHEN parts = 1 THEN id ELSE id || '-' || part END AS id, datetime, diff, value, source FROM (
       SELECT *, max(part) OVER (PARTITION BY id) + 1 AS parts,
-        date_diff('day', min(datetime) OVER (PARTITION BY id, part), max(datetime) OVER (PARTITION BY id, part)) + 1 AS len
-      FROM (SELECT *, sum(CASE WHEN date_diff('day', p, datetime) - 1 >= {gap} THEN 1 ELSE 0 END) OVER w AS part
+        date_diff('{unit}', min(datetime) OVER (PARTITION BY id, part), max(datetime) OVER (PARTITION BY id, part)) + 1 AS len
+      FROM (SELECT *, sum(CASE WHEN date_diff('{unit}', p, datetime) - 1 >= {gap} THEN 1 ELSE 0 END) OVER w AS part
         FROM (SELECT *, lag(datetime) OVER w AS p FROM {source} {W}) {W}))
     WHERE parts = 1 OR len > {gap}"""
 
@@ -148,19 +148,19 @@ def _(v):
     return cleaning.split_at_gaps(v.dirty, D, 7)
 
 
-def _interpolated(source: str) -> str:
+def _interpolated(source: str, unit: str = "day") -> str:
     return f"""SELECT id, datetime, source, value, CASE WHEN p IS NULL THEN first_diff ELSE value - p END AS diff FROM (
       SELECT *, lag(value) OVER w AS p FROM (
         SELECT id, datetime, source, first_diff, CASE WHEN v IS NOT NULL THEN v
           WHEN a.t IS NULL THEN b.v WHEN b.t IS NULL THEN a.v
-          ELSE a.v + (b.v - a.v) * date_diff('day', a.t, datetime) / date_diff('day', a.t, b.t) END AS value
+          ELSE a.v + (b.v - a.v) * date_diff('{unit}', a.t, datetime) / date_diff('{unit}', a.t, b.t) END AS value
         FROM (SELECT *,
             last_value(CASE WHEN v IS NOT NULL THEN {{t: datetime, v: v}} END IGNORE NULLS) OVER (PARTITION BY id ORDER BY datetime) AS a,
             first_value(CASE WHEN v IS NOT NULL THEN {{t: datetime, v: v}} END IGNORE NULLS) OVER (PARTITION BY id ORDER BY datetime
               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b
           FROM (SELECT g.id, g.datetime, g.source, g.first_diff, r.value AS v FROM (
               SELECT id, any_value(source) AS source, arg_min(COALESCE(diff, 'nan'), datetime) AS first_diff,
-                unnest(generate_series(min(datetime), max(datetime), INTERVAL 1 DAY)) AS datetime
+                unnest(generate_series(min(datetime), max(datetime), INTERVAL 1 {unit})) AS datetime
               FROM {source} GROUP BY id) g LEFT JOIN {source} r ON g.id = r.id AND g.datetime = r.datetime)))
       {W})"""
 
@@ -225,24 +225,35 @@ def _(v):
     return cleaning.prev_next(v.dirty.select("id", "datetime", "diff"), "diff", D)
 
 
-_BASIC = f"""a AS (SELECT * FROM dirty WHERE diff >= 0),
-    b AS ({_reconnect('a', 'day', 1)}),
+def _basic(source: str, unit: str, gap: int) -> str:
+    return f"""a AS (SELECT * FROM {source} WHERE diff >= 0),
+    b AS ({_reconnect('a', unit, gap)}),
     c AS (SELECT b.id, datetime, diff, value, source FROM b JOIN ({_bounds('b')}) q ON b.id = q.id WHERE diff <= q75 + 1.5 * (q75 - q25)),
     d AS ({_flat('c', 4)})"""
 
 
-@query("clean_basic", f"WITH {_BASIC} SELECT {COLS} FROM d", "dirty", "diff value")
+@query("clean_basic", f"WITH {_basic('dirty', 'day', 1)} SELECT {COLS} FROM d", "dirty", "diff value")
 def _(v):
     return chains.clean_basic(v.dirty, D, 4)
 
 
-@query(
-    "clean_interpolated",
-    f"""WITH {_BASIC}, e AS ({_split('d', 7)}), f AS ({_interpolated('e')}), g AS (SELECT * FROM f WHERE diff >= 0),
+@query("clean_basic_hourly", f"WITH {_basic('dirty_hourly', 'hour', 3)} SELECT {COLS} FROM d", "dirty_hourly", "diff value")
+def _(v):
+    return chains.clean_basic(v.dirty_hourly, H, 4)
+
+
+def _whole(source: str, unit: str, reconnect: int, gap: int) -> str:
+    return f"""WITH {_basic(source, unit, reconnect)}, e AS ({_split('d', gap, unit)}), f AS ({_interpolated('e', unit)}),
+    g AS (SELECT * FROM f WHERE diff >= 0),
     h AS (SELECT * EXCLUDE (m) FROM (SELECT *, median(diff) OVER (PARTITION BY id) AS m FROM g) WHERE diff < 50 * m)
-    SELECT {COLS} FROM ({_split('h', 1)})""",
-    "dirty",
-    "diff value",
-)
+    SELECT {COLS} FROM ({_split('h', 1, unit)})"""
+
+
+@query("clean_interpolated", _whole("dirty", "day", 1, 7), "dirty", "diff value")
 def _(v):
     return chains.clean_interpolated(v.dirty, D, 4, 7)
+
+
+@query("clean_interpolated_hourly", _whole("dirty_hourly", "hour", 3, 24), "dirty_hourly", "diff value")
+def _(v):
+    return chains.clean_interpolated(v.dirty_hourly, H, 4)

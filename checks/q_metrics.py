@@ -116,6 +116,18 @@ def _(v):
     return forecast.cluster_buildings(v.readings, s=D)
 
 
+@query(
+    "cluster_buildings_levels",
+    """SELECT id, CAST(id AS BIGINT) % 3 AS label, avg(x) AS avg, stddev_samp(x) AS std, median(x) AS median, min(x) AS min, max(x) AS max
+    FROM (SELECT id, 100000 * (CAST(id AS BIGINT) % 3) + diff AS x FROM readings) GROUP BY id HAVING count(*) >= 15""",
+    "readings",
+    "avg std median min max",
+)
+def _(v):
+    """Consumption on three levels far apart, which the clusters have to be."""
+    return forecast.cluster_buildings(v.readings.withColumn("diff", 100000 * (F.col("id").cast("bigint") % 3) + F.col("diff")), s=D)
+
+
 @query("cluster_members", "SELECT id, datetime, diff, label FROM readings JOIN labels_of USING (id) WHERE label > 0", "readings labels_of", "diff")
 def _(v):
     return forecast.cluster_members(v.readings.select("id", "datetime", "diff"), v.labels_of.filter("label > 0"), D)

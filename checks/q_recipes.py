@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from checks.q_frames import ROLES, window_rows, window_sql
+from checks.q_metrics import VALUES, grouped
 from checks.registry import query
-from checks.views import D
-from heatloom.plans import recipes
+from checks.views import D, H
+from heatloom import Series
+from heatloom.plans import evaluation, recipes
 from heatloom.schema import COLUMN_ROLES, RunConfig, column_roles
 
 FEATURES = [
@@ -36,6 +40,22 @@ def _(v):
     return recipes.recipe_features(v.readings.drop("value", "source"), dimensions(v), D, FEATURES)
 
 
+HOURLY = ENRICHED.replace("tavg, tmin, tmax", "temp, rhum").replace("weather_daily", "weather").replace("FROM readings r", "FROM user_hours r")
+
+
+@query(
+    "recipe_features_hourly",
+    f"SELECT * EXCLUDE (state) FROM ({HOURLY}) WHERE state IS NOT NULL",
+    "user_hours meta weather cities holidays",
+    "diff heated_area temp rhum daily_avg",
+    "weekday day_of_month",
+)
+def _(v):
+    dims = recipes.Dimensions(v.meta, v.weather, v.holidays, v.cities)
+    names = [c for c in FEATURES if c not in ("tavg", "tmin", "tmax")] + ["temp", "rhum"]
+    return recipes.recipe_features(v.user_hours, dims, H, names)
+
+
 def dimensions(v):
     return recipes.Dimensions(v.meta, v.weather_daily, v.holidays, v.cities)
 
@@ -96,6 +116,68 @@ def _(v):
     return recipes.recipe_prepare(training_input(v), CONFIG, D)[0]
 
 
+LAGGED = ", ".join([f'lag(diff, {i}) OVER w AS "diff(t-{i})"' for i in range(1, 73)] + [f'lead(diff, {i}) OVER w AS "diff(t+{i})"' for i in range(1, 72)])
+LAGGED_NAMES = [f"diff(t-{i})" for i in range(1, 73)] + [f"diff(t+{i})" for i in range(1, 72)]
+
+
+@query(
+    "recipe_prepare_hourly",
+    f"""SELECT * EXCLUDE (i, n) REPLACE ({z('diff', 'PARTITION BY id')}) FROM ({parts(f"""(SELECT id, datetime, diff,
+      sin(2 * pi() * isodow(datetime) / 7) AS weekday_sin, cos(2 * pi() * isodow(datetime) / 7) AS weekday_cos, * EXCLUDE (id, datetime, diff)
+      FROM (SELECT id, datetime, diff, {LAGGED} FROM hourly WINDOW w AS (PARTITION BY id ORDER BY datetime))
+      WHERE "diff(t-72)" IS NOT NULL AND "diff(t+71)" IS NOT NULL)""", 144)})""",
+    "hourly",
+    " ".join(["diff", *LAGGED_NAMES, "weekday_sin", "weekday_cos"]),
+)
+def _(v):
+    from heatloom.operators import rows
+
+    config = RunConfig(res="hour", feature_list=("diff", "weekday"), n_in=72, n_out=24, n_future=24, train_per=0.4)
+    return recipes.recipe_prepare(rows.calendar_parts(v.hourly.select("id", "datetime", "diff"), ["weekday"]), config, H)[0]
+
+
+PREDICTED = f"""t AS ({parts(f'({TRAINING})', 4)}),
+    p AS (SELECT id, avg(diff) AS m, coalesce(nullif(stddev_pop(diff), 0), 1) AS s FROM t WHERE split = 'train' GROUP BY id),
+    k AS (SELECT split, id, datetime, m, s, diff AS a, "diff(t+1)" AS b, ("diff(t-1)" - m) / s AS x FROM t JOIN p USING (id)),
+    r AS (SELECT regr_slope((a - m) / s, x) AS s0, regr_intercept((a - m) / s, x) AS i0, regr_slope((b - m) / s, x) AS s1,
+      regr_intercept((b - m) / s, x) AS i1 FROM k WHERE split = 'train'),
+    linear AS (SELECT id, datetime, h, CASE h WHEN 0 THEN a ELSE b END AS y, CASE h WHEN 0 THEN i0 + s0 * x ELSE i1 + s1 * x END * s + m AS y_hat
+      FROM k, r, (VALUES (0), (1)) AS v(h) WHERE split = 'test'),
+    naive AS (SELECT id, datetime, h, CASE h WHEN 0 THEN a ELSE b END AS y, CASE h WHEN 0 THEN p ELSE q END AS y_hat FROM (
+        SELECT id, datetime, a, b, coalesce(lag(a, 2) OVER w, 0) AS p, coalesce(lag(b, 2) OVER w, 0) AS q FROM k WHERE split = 'test'
+        WINDOW w AS (PARTITION BY id ORDER BY datetime)), (VALUES (0), (1)) AS v(h) WHERE NOT (p = 0 AND q = 0))"""
+
+
+def predicted(v):
+    return evaluation.recipe_evaluate(training_input(v), CONFIG, D, ["diff(t-1)"])
+
+
+@query(
+    "recipe_evaluate",
+    f"WITH {PREDICTED} SELECT 'linear' AS model, * FROM ({grouped('id', 'linear')}) UNION ALL SELECT 'naive', * FROM ({grouped('id', 'naive')})",
+    "readings meta",
+    VALUES,
+)
+def _(v):
+    return evaluation.errors_per_id(predicted(v), D)
+
+
+def by_cluster(model: str) -> str:
+    source = f"(SELECT * FROM {model} JOIN labels_of USING (id))"
+    names = VALUES.replace(" avg_diff", "").replace(" ", ", ")
+    return f"SELECT label, metric, v AS {model} FROM ({grouped('label', source)}) UNPIVOT INCLUDE NULLS (v FOR metric IN ({names}))"
+
+
+@query(
+    "recipe_evaluate_clusters",
+    f"WITH {PREDICTED} SELECT label, metric, linear, naive FROM ({by_cluster('linear')}) FULL JOIN ({by_cluster('naive')}) USING (label, metric)",
+    "readings meta labels_of",
+    "linear naive",
+)
+def _(v):
+    return evaluation.errors_per_cluster(predicted(v), v.labels_of, D)
+
+
 @query(
     "recipe_windowing",
     f"""WITH scaled AS (SELECT id, datetime, split, {z('diff', 'PARTITION BY id')}, {z('value')} FROM ({parts('readings', 4)})),
@@ -139,14 +221,58 @@ def _(v):
     return recipes.recipe_volatility(v.volatility, REGIONS).select(*names)
 
 
+def coded(col: str) -> str:
+    """Position of a category among those of train in alphabetical order."""
+    return f"(SELECT count(*) FROM (SELECT DISTINCT CAST({col} AS VARCHAR) AS c FROM t WHERE split = 'train') WHERE c < CAST(t.{col} AS VARCHAR)) AS {col}"
+
+
+def part_windows(source: str, id_col: str, time: str, inputs: list[str], total: int, encoder: int) -> str:
+    values = ", ".join(f"CAST(s.{c} AS DOUBLE) AS x{i}" for i, c in enumerate(inputs))
+    rows = f"(SELECT *, row_number() OVER p AS k, count(*) OVER (PARTITION BY split, {id_col}) AS n FROM {source} WINDOW p AS (PARTITION BY split, {id_col} ORDER BY {time}))"
+    return f"""SELECT b.{id_col} AS id, b.split, b.{time} AS window_start, s.k - b.k AS step, s.{time} AS time, {values},
+      CASE WHEN s.k - b.k >= {encoder} THEN s.{inputs[0]} END AS output
+    FROM {rows} b JOIN {rows} s ON b.split = s.split AND b.{id_col} = s.{id_col} AND s.k BETWEEN b.k AND b.k + {total - 1} WHERE b.k + {total - 1} <= b.n"""
+
+
+def part_rows(df, id_col: str, n: int, encoder: int):
+    rows = df.select(F.col(id_col).alias("id"), "split", "window_start", "outputs", F.posexplode(F.arrays_zip("inputs", "time")).alias("step", "_r"))
+    later = F.col("step") - encoder
+    return rows.select(
+        "id", "split", "window_start", "step", F.col("_r.time").alias("time"), *[F.col("_r.inputs")[i].alias(f"x{i}") for i in range(n)],
+        F.when(later >= 0, F.get("outputs", later)).alias("output"),
+    )
+
+
+VOL_REAL, VOL_CAT = ["log_vol", "open_to_close", "days_from_start"], ["day_of_week", "day_of_month", "week_of_year", "month", "Region"]
+
+
 @query(
-    "recipe_electricity",
-    """WITH h AS (SELECT id, date_trunc('hour', ts) AS date, nullif(avg(usage), 0) AS p FROM quarter_hours GROUP BY 1, 2),
+    "recipe_volatility_windows",
+    f"""WITH t AS (SELECT *, CASE WHEN year < 1999 THEN 'train' WHEN year < 2000 THEN 'val' ELSE 'test' END AS split
+        FROM ({VOLATILITY}) WHERE year < 2000 OR date < TIMESTAMP '2000-07-01'),
+    c AS (SELECT Symbol, date, split, {", ".join(z(x) for x in VOL_REAL)}, {", ".join(coded(x) for x in VOL_CAT)} FROM t)
+    {part_windows('c', 'Symbol', 'date', VOL_REAL + VOL_CAT, 4, 2)}""",
+    "volatility",
+    " ".join([f"x{i}" for i in range(8)] + ["output"]),
+    "step",
+)
+def _(v):
+    s = Series("day", id="Symbol", time="date", points=365, chunk=64)
+    out = recipes.recipe_volatility_windows(recipes.recipe_volatility(v.volatility, REGIONS), 4, 2, 1999, 2000, "2000-06-30", s)
+    return part_rows(out, "Symbol", 8, 2)
+
+
+ELECTRICITY = """WITH h AS (SELECT id, date_trunc('hour', ts) AS date, nullif(avg(usage), 0) AS p FROM quarter_hours GROUP BY 1, 2),
     g AS (SELECT id, unnest(generate_series(min(date), max(date), INTERVAL 1 HOUR)) AS date FROM h GROUP BY id),
     t AS (SELECT id, date, coalesce(p, 0) AS power_usage, hour(date) AS hour, day(date) AS day, isodow(date) - 1 AS day_of_week,
       month(date) AS month, date_diff('hour', (SELECT min(date) FROM h), date) AS t FROM g LEFT JOIN h USING (id, date))
     SELECT *, t AS hours_from_start, t // 24 AS days_from_start, id AS categorical_id, day_of_week AS categorical_day_of_week,
-      hour AS categorical_hour FROM t WHERE t // 24 BETWEEN 5 AND 20""",
+      hour AS categorical_hour FROM t WHERE t // 24 BETWEEN 5 AND 20"""
+
+
+@query(
+    "recipe_electricity",
+    ELECTRICITY,
     "quarter_hours",
     "power_usage",
     "hour day day_of_week month categorical_day_of_week categorical_hour days_from_start",
@@ -155,6 +281,27 @@ def _(v):
     return recipes.recipe_electricity(v.electricity_wide, "ts", 5, 20)
 
 
+ELE_REAL = ["power_usage", "hour", "day_of_week", "hours_from_start"]
+
+
+@query(
+    "recipe_electricity_windows",
+    f"""WITH e AS ({ELECTRICITY}),
+    t AS (SELECT *, 'train' AS split FROM e WHERE days_from_start < 12
+      UNION ALL SELECT *, 'val' FROM e WHERE days_from_start >= 10 AND days_from_start < 16 UNION ALL SELECT *, 'test' FROM e WHERE days_from_start >= 14),
+    c AS (SELECT id, date, split, {", ".join(z(x, 'PARTITION BY id') for x in ELE_REAL)}, {coded('categorical_id')},
+      count(*) FILTER (split = 'train') OVER (PARTITION BY id) AS n_train FROM t)
+    {part_windows('(SELECT * FROM c WHERE n_train >= 6)', 'id', 'date', [*ELE_REAL, 'categorical_id'], 6, 4)}""",
+    "quarter_hours",
+    "x0 x1 x2 x3 x4 output",
+    "step",
+)
+def _(v):
+    rows = recipes.recipe_electricity(v.electricity_wide, "ts", 5, 20)
+    out = recipes.recipe_electricity_windows(rows, 6, 4, 12, 16, 2, Series("hour", time="date", points=48, chunk=64))
+    return part_rows(out, "id", 5, 4)
+
+
 @query(
     "recipe_traffic",
     """SELECT *, id || '_' || lpad(CAST(sensor_day AS VARCHAR), 3, '0') || '_' || lpad(CAST(time_on_day AS VARCHAR), 3, '0') AS key,

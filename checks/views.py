@@ -45,6 +45,21 @@ SQL: dict[str, tuple[list[str], str]] = {
         FROM (SELECT *, CAST(id AS BIGINT) AS u, day(datetime) AS d FROM readings)
         WHERE NOT (u % 4 = 1 AND d BETWEEN 16 AND 24)""",
     ),
+    "dirty_hourly": (
+        ["hourly"],
+        """
+        SELECT id, datetime, value, source,
+          CASE WHEN (u + h) % 29 = 0 THEN NULL WHEN (u + h) % 17 = 0 THEN -diff
+               WHEN u = 5 AND h % 24 BETWEEN 8 AND 14 THEN 0.0 WHEN (u * 7 + h) % 53 = 0 THEN diff * 60 ELSE diff END AS diff
+        FROM (SELECT *, length(id) AS u, day(datetime) * 24 + hour(datetime) AS h FROM hourly)
+        WHERE NOT (u = 4 AND h BETWEEN 300 AND 340)""",
+    ),
+    "user_hours": (
+        [],
+        """
+        SELECT CAST(user_id AS VARCHAR) AS id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS datetime, round(sum(value), 2) AS diff
+        FROM events GROUP BY 1, 2""",
+    ),
     "meta": (
         [],
         """
@@ -238,6 +253,25 @@ class Views:
         )
         return self.readings.filter(~((u % 4 == 1) & d.between(16, 24))).withColumn("diff", diff)
 
+    @cached_property
+    def dirty_hourly(self) -> DataFrame:
+        u, h = F.length("id"), F.dayofmonth("datetime") * 24 + F.hour("datetime")
+        diff = (
+            F.when((u + h) % 29 == 0, None)
+            .when((u + h) % 17 == 0, -F.col("diff"))
+            .when((u == 5) & (h % 24).between(8, 14), 0.0)
+            .when((u * 7 + h) % 53 == 0, F.col("diff") * 60)
+            .otherwise(F.col("diff"))
+        )
+        return self.hourly.filter(~((u == 4) & h.between(300, 340))).withColumn("diff", diff)
+
+    @cached_property
+    def user_hours(self) -> DataFrame:
+        hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+        return self.table("events").groupBy(F.col("user_id").cast("string").alias("id"), hour.alias("datetime")).agg(
+            F.round(F.sum("value"), 2).alias("diff")
+        )
+
     @cached_property
     def meta(self) -> DataFrame:
         k = F.col("c_custkey")

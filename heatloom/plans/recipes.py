@@ -15,6 +15,7 @@ from heatloom.functions.tables import materialize
 from heatloom.operators import cleaning, frames, joins, profile, rows, scaling, splits
 from heatloom.schema import (
     CATEGORICAL,
+    COLUMN_ROLES,
     CONTINUOUS,
     CONTINUOUS_RES,
     CYCLIC,
@@ -278,10 +279,46 @@ def recipe_windowing(
     min_len: int | None = None,
 ) -> DataFrame:
     """Split, scale and window a role-declared dataset; windows stay inside their split."""
-    id_col = column_with_role(list(roles), "id")
     df = splits.split_time(df, train_per, s, remove_per, total if min_len is None else min_len)
     df = scale_roles(df, roles, [f"{c}_{w}" for c in CYCLIC for w in ("sin", "cos")])
+    return windows_of_parts(df, roles, total, encoder, s)
+
+
+def windows_of_parts(df: DataFrame, roles: Sequence[Role], total: int, encoder: int, s: Series) -> DataFrame:
+    """Windows of each split by itself; a row may be in several."""
+    id_col = column_with_role(list(roles), "id")
     df = materialize(df.withColumn("_part", F.concat_ws("|", "split", id_col)))
     windows = frames.sliding_windows(df, roles, total, encoder, s=replace(s, id="_part"))
     split: Column = F.substring_index("_part", "|", 1)
     return windows.withColumn("split", split).drop("_part")
+
+
+def recipe_volatility_windows(
+    df: DataFrame, total: int, encoder: int, valid: int = 2016, test: int = 2018, end: str = "2019-06-28", s: Series | None = None
+) -> DataFrame:
+    """Windows of the volatility data: cut by year, numbers scaled over all series, categories coded, both as train shows them."""
+    roles = COLUMN_ROLES["volatility"]
+    real, cat = columns_of(roles, "real", ("id", "time")), columns_of(roles, "categorical", ("id", "time"))
+    df = splits.split_year(df, valid, test, end).select("Symbol", "date", "split", *real, *cat)
+    df = materialize(df)
+    train = df.filter("split = 'train'")
+    df = scaling.apply_scaler(df, scaling.fit_scaler(train, real), real)
+    df = scaling.label_encode(df, cat, by="date", fitted=scaling.fit_codes(train, cat))
+    return windows_of_parts(df, roles, total, encoder, s or Series("day", id="Symbol", time="date"))
+
+
+def recipe_electricity_windows(
+    df: DataFrame, total: int, encoder: int, valid: int = 1315, test: int = 1339, overlap: int = 7, s: Series | None = None
+) -> DataFrame:
+    """Windows of the electricity data, timed by ``date``: cut by day with overlaps, numbers scaled per customer as in train.
+
+    Customers with fewer than ``total`` hours in train are left out, and parts shorter than that give no window.
+    """
+    roles = [Role("date", "date", "time") if r.role == "time" else r for r in COLUMN_ROLES["electricity"]]
+    real, cat = columns_of(roles, "real", ("id", "time")), columns_of(roles, "categorical", ("id", "time"))
+    df = splits.split_boundary_overlap(df, valid, test, overlap).select("id", "date", "split", *real, *cat)
+    df = materialize(df)
+    fitted = scaling.fit_codes(df.filter("split = 'train'"), cat)
+    df = scaling.standardize_per_entity(df, real, total, by="date")
+    df = scaling.label_encode(df, cat, by="date", fitted=fitted)
+    return windows_of_parts(df, roles, total, encoder, s or Series("hour", time="date"))
