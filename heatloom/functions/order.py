@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from heatloom.functions.skew import spread_join
 from heatloom.functions.tables import materialize
 
+CELLS = 4096  # parts of equal width that the values between two edges of a bracket are ranked in
 BUCKETS = 65536  # values of the leading four hexadecimal digits of a hash
 
 
@@ -40,9 +41,10 @@ def quantiles(
 
     The built-in exact percentile keeps all distinct values of a group in one buffer. Here a mergeable sketch first
     brackets each wanted rank; values outside the bracket are only counted (before the shuffle), and only the few
-    distinct values inside it are ranked, so a group holding most of the rows costs no more than the others. If a
-    rank were ever outside its bracket the query fails rather than returning a neighbour. Equal values of a group are
-    counted before rows meet their bracket, so a group of mostly equal values is spread like any other.
+    distinct values inside it are ranked, cell by cell, so neither a hot group nor the size of the table puts a whole
+    bracket into one task. If a rank were ever outside its bracket the query fails rather than returning a neighbour.
+    Equal values of a group are counted before rows meet their bracket, so a group of mostly equal values is spread
+    like any other.
 
     Without ``by``, or where the caller knows that there are only a few groups (columns, splits), the sketch is
     handed to the rows as it is and no row is shuffled.
@@ -70,22 +72,37 @@ def quantiles(
         marked = spread_join(rows, sketch, keys, "inner", by="_v")
     # values inside a bracket stay as they are, those between two brackets become one counted group
     v = F.col("_v")
-    inside, zone = F.lit(False), F.lit(0)
+    inside, zone, edge = F.lit(False), F.lit(0), F.lit(False)
     for i in range(0, len(edges), 2):
         low, high = F.col("_edges")[i], F.col("_edges")[i + 1]
         inside = inside | v.between(low, high)
         zone = zone + (v > low).cast("int") + (v > high).cast("int")
+        edge = edge | (v == low) | (v == high)
+    # a bracket is cut into cells of equal width; an edge is the largest value of its zone
+    below = F.array_max(F.filter("_edges", lambda e: e < v))
+    above = F.array_min(F.filter("_edges", lambda e: e > v))
+    cell = F.when(edge, F.lit(CELLS + 1)).otherwise(F.floor((v - below) / (above - below) * F.lit(CELLS)).cast("int"))
+    place = [*keys, "_zone", "_cell"]
     counted = (
-        marked.groupBy(*keys, "_n", zone.alias("_zone"), F.when(inside, v).alias("_exact"))
+        marked.groupBy(
+            *keys, "_n", zone.alias("_zone"), F.when(inside, F.coalesce(cell, F.lit(0))).otherwise(-1).alias("_cell"), F.when(inside, v).alias("_exact")
+        )
         .agg(F.sum("_w").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
-    w = Window.partitionBy(*(keys or ["_n"])).orderBy("_zone", F.col("_exact").asc_nulls_first())
-    counted = counted.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # running counts over the cells of a group, whose number is bounded, then over the values of one cell
+    cells = counted.groupBy(*place).agg(F.sum("_c").alias("_in"), F.min("_lo").alias("_least"), F.max("_hi").alias("_most"))
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_zone", "_cell")
+    earlier = F.sum("_in").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select(*place, F.coalesce(earlier, F.lit(0)).alias("_before"), "_least", "_most")
+    counted = counted.join(cells, place)
+    w = Window.partitionBy(*place).orderBy("_exact").rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("_upto", F.col("_before") + F.sum("_c").over(w))
     start = F.col("_upto") - F.col("_c")
 
     def at(rank: Column) -> Column:
         value = (
             F.when(F.col("_exact").isNotNull(), F.col("_exact"))
+            .when(F.col("_least") == F.col("_most"), F.col("_least"))
             .when(rank == F.col("_upto"), F.col("_hi"))
             .when(rank == start + 1, F.col("_lo"))
             .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
@@ -97,7 +114,8 @@ def quantiles(
         low, high, weight = rank_of(F.col("_n"), probs[name])
         found += [at(low).alias(f"_{i}_low"), at(high).alias(f"_{i}_high"), F.max(weight).alias(f"_{i}_w")]
         step = F.col(f"_{i}_high") - F.col(f"_{i}_low")
-        result.append((F.col(f"_{i}_low") + step * F.col(f"_{i}_w")).alias(name))
+        value = F.when(F.col(f"_{i}_w") == 0, F.col(f"_{i}_low")).otherwise(F.col(f"_{i}_low") + step * F.col(f"_{i}_w"))
+        result.append(value.alias(name))
     return counted.groupBy(*keys, "_n").agg(*found).select(*keys, F.col("_n").alias("n"), *result)
 
 

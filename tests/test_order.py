@@ -89,3 +89,19 @@ def test_spread_join_of_small_dim_is_a_broadcast(spark):
     dim = spark.range(5).select(F.col("id").alias("k"), F.rand(1).alias("x"))
     plan = spread_join(rows, dim, "k", by="id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "_salt" not in plan
+
+
+def test_quantiles_at_edges_and_infinite_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("a", x) for x in (inf, 1.0, 2.0, -inf, 5.0)] + [("b", 2.0)] * 3, "g string, x double")
+    got = rows_of(quantiles(df, "g", "x", {"lo": 0.0, "m": 0.5, "hi": 1.0}))
+    assert got == [("a", 5, -inf, 2.0, inf), ("b", 3, 2.0, 2.0, 2.0)]
+
+
+def test_quantiles_rank_brackets_by_cells(shuffled):
+    """Half of the values lie in one thousandth of the range, so that cells of a bracket are filled unevenly."""
+    n = 40_000
+    df = shuffled.range(n).selectExpr("'a' AS g", f"CASE WHEN id < {n // 2} THEN id / {n}D ELSE id * 1000D END AS x")
+    values = sorted(i / n if i < n // 2 else i * 1000.0 for i in range(n))
+    row = quantiles(df, "g", "x", {"q": 0.25, "m": 0.5, "z": 0.9}, "nearest").collect()[0]
+    assert [row[c] for c in ("q", "m", "z")] == [values[int((n - 1) * p + 0.5)] for p in (0.25, 0.5, 0.9)]
