@@ -69,9 +69,8 @@ def _votes(hashes: np.ndarray, per_text: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """Fingerprint of each text of an Arrow column."""
-    out = [np.zeros(0, np.uint64)]
+def shingle_hashes(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of texts: the hashes of their word shingles, text after text, and how many each text has."""
     digest = xxhash.xxh64_intdigest
     for a, b, buf, off in chunks(column):
         flat, borders, of_text = words(buf, off, TABLE)
@@ -84,9 +83,13 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
         first = np.repeat(of_text[:-1] - (np.cumsum(per_text) - per_text), per_text) + np.arange(int(per_text.sum()))
         last = np.minimum(first + shingle, np.repeat(of_text[1:], per_text)) - 1
         hashes = np.fromiter((digest(spaced[i:j], SEED) for i, j in zip(begin[first].tolist(), end[last].tolist(), strict=True)), np.uint64, len(first))
-        out.append(_votes(hashes, per_text))
         assert b - a == len(per_text)
-    return np.concatenate(out)
+        yield hashes, per_text
+
+
+def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """Fingerprint of each text of an Arrow column."""
+    return np.concatenate([np.zeros(0, np.uint64), *[_votes(*part) for part in shingle_hashes(column, shingle)]])
 
 
 @arrow_udf(LongType())
