@@ -4,10 +4,11 @@
 shuffle), the distinct terms and for each term the ascending list of its positions. A phrase is looked up in a segment by
 taking the position list of its rarest term there, shifted by the term's offset in the phrase, and intersecting it with the
 shifted lists of the next rarest terms until none is left or all terms agree; a segment that lacks a term is skipped. Proximity
-takes the rarest term's positions and asks for the other terms within ``slop`` words of it.
+takes an item's terms that are rarest in the whole index, counted in a pass before, and asks in each segment for positions of
+the rarest one that have the others within ``slop`` words, so the segments do not change what is near.
 
 The index is proportional to the text, lives in the shared folder and is read by segments, so no task holds more than one.
-Test items are read by the driver in blocks of at most ``BLOCK_BYTES`` of text; each block is one pass over the index.
+Test items are read by the driver in blocks of at most ``BLOCK_BYTES`` of text; each block is two passes over the index.
 
 Words are runs of ASCII letters and digits and of all non-ASCII characters, after A-Z became lower case.
 
@@ -140,11 +141,10 @@ class Segment:
         return at[(at >= 0) & (at + len(codes) <= self.doc_words[here])] if len(at) else at
 
     def near(self, codes: np.ndarray, slop: int) -> np.ndarray:
-        """Documents (their places) where the rarest term has all others within ``slop`` words."""
-        order = codes[np.argsort(self.size(codes), kind="stable")]
-        at = self.list(int(order[0])).astype(np.int64)
+        """Documents (their places) where the first term has all others within ``slop`` words."""
+        at = self.list(int(codes[0])).astype(np.int64)
         doc = np.searchsorted(self.doc_words, at, "right") - 1
-        for code in order[1:].tolist():
+        for code in codes[1:].tolist():
             listed = self.list(code)
             low = np.maximum(at - slop, self.doc_words[doc])
             high = np.minimum(at + slop, self.doc_words[doc + 1] - 1)
@@ -165,16 +165,46 @@ def item_words(texts: list[str | None]) -> list[list[str]]:
     return out
 
 
-def _finder(items: list[tuple[str, list[str]]], window: int, slop: int, near_terms: int):
+def _counter(vocabulary: list[str]):
+    """How often each word of the vocabulary occurs in each segment."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_ = pa.array(vocabulary, pa.large_string())
+        for batch in batches:
+            for k in range(batch.num_rows):
+                s = Segment(batch.slice(k, 1).to_pylist()[0])
+                codes = s.codes(words_)
+                there = np.flatnonzero(codes >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(s.size(codes[there]), pa.int64())], names=["word", "n"])
+
+    return count
+
+
+def _rarest(index: DataFrame, vocabulary: list[str], items: list[tuple[str, list[str]]], near_terms: int) -> list[np.ndarray]:
+    """For each item its terms that are rarest in the whole index, rarest first; none where too few of its terms occur at all."""
+    empty = [F.lit(b"").alias(c) for c in ("doc_words", "positions")]
+    read = index.select(F.expr("cast(array() as array<array<bigint>>)").alias("docs"), "terms", "term_ends", "list_ends", *empty)
+    total = read.mapInArrow(_counter(vocabulary), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    count = np.zeros(len(vocabulary), np.int64)
+    count[total["word"].to_numpy(np.int64)] = total["n"].to_numpy(np.int64)
+    number = {w: i for i, w in enumerate(vocabulary)}
+    out = []
+    for _, ws in items:
+        ids = np.unique(np.array([number[w] for w in ws], np.int64))
+        there = ids[count[ids] > 0]
+        enough = len(there) >= min(near_terms, len(ids))
+        out.append(there[np.argsort(count[there], kind="stable")][:near_terms] if enough else there[:0])
+    return out
+
+
+def _finder(items: list[tuple[str, list[str]]], vocabulary: list[str], rarest: list[np.ndarray], window: int, slop: int):
     """Looks all windows of the items up in each segment; one row per document that has any hit."""
-    vocabulary = sorted({w for _, ws in items for w in ws})
     number = {w: i for i, w in enumerate(vocabulary)}
     windows: dict[tuple, set[int]] = defaultdict(set)  # equal windows of several items are looked up once
     for i, (_, ws) in enumerate(items):
         for s in range(max(1, len(ws) - window + 1)) if ws else ():
             windows[tuple(number[w] for w in ws[s : s + window])].add(i)
     phrases = [(np.array(k), sorted(v)) for k, v in windows.items()]
-    distinct = [np.unique(np.array([number[w] for w in ws], np.int64)) for _, ws in items]
     names = [n for n, _ in items]
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,13 +225,11 @@ def _finder(items: list[tuple[str, list[str]]], window: int, slop: int, near_ter
                         first = p - int(s.doc_words[doc])
                         spans[doc].append((first, first + len(ids)))
                         found[doc].update(names[i] for i in of)
-                for i, ids in enumerate(distinct):
+                for i, ids in enumerate(rarest):
                     mine = codes[ids]
-                    mine = mine[mine >= 0]
-                    if len(mine) < min(near_terms, len(ids)) or not len(ids):
+                    if not len(ids) or mine.min() < 0:
                         continue
-                    rarest = mine[np.argsort(s.size(mine), kind="stable")][:near_terms]
-                    for doc in s.near(rarest, slop).tolist():
+                    for doc in s.near(mine, slop).tolist():
                         near[doc].add(names[i])
                 docs = sorted({*spans, *near})
                 segment = batch.column("segment")[k].as_py()
@@ -260,12 +288,15 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     """Per indexed document: ``id`` (array), ``n_words``, ``n_hit``, ``spans`` of hit words, ``items`` with a window that occurs, ``near`` items.
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one. ``near`` are the items whose ``near_terms``
-    terms that are rarest there lie within ``slop`` words of one another's rarest.
+    terms that are rarest in the whole index (of those that occur there; fewer for an item of fewer terms) lie within ``slop`` words of the
+    rarest one; equally rare terms go by the alphabet.
     """
     hits = None
     for block in _blocks(benchmark, block_bytes):
+        vocabulary = sorted({w for _, ws in block for w in ws})
+        rarest = _rarest(index, vocabulary, block, near_terms)
         found = index.mapInArrow(
-            _finder(block, window, slop, near_terms), "segment bigint, place int, spans array<array<int>>, items array<string>, near array<string>"
+            _finder(block, vocabulary, rarest, window, slop), "segment bigint, place int, spans array<array<int>>, items array<string>, near array<string>"
         )
         hits = found if hits is None else hits.unionAll(found)
     docs = index.select("segment", "docs", "doc_words").mapInArrow(_doc_rows, "segment bigint, place int, id array<bigint>, n_words bigint")

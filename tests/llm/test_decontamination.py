@@ -76,6 +76,24 @@ def test_near(spark):
     assert rows == {1: ["9"], 2: [], 3: []}
 
 
+@pytest.mark.parametrize("segments", [1, 3, 7])
+def test_near_does_not_depend_on_segments(spark, segments):
+    """The rarest terms, and the one that the others are measured from, are those of the whole index."""
+    docs = [
+        (1, "alpha beta gamma delta"), (2, "epsilon"), (3, "alpha beta gamma epsilon"), (4, "alpha alpha"), (5, "beta " + "x " * 15 + "gamma " + "x " * 15 + "epsilon delta"),
+        (6, "gamma " + "y " * 15 + "epsilon " + "y " * 15 + "beta delta"), (7, "alpha delta delta epsilon beta gamma"),
+    ]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(docs, segments), "doc_id long, text string")
+    index = D.build_index(df)
+    assert index.count() == segments
+    rows = D.search(index, bench(spark, [(9, "alpha beta gamma delta epsilon")])).collect()
+    ws = [plain_words(t) for _, t in docs]
+    total = {w: sum(x.count(w) for x in ws) for w in ["alpha", "beta", "delta", "epsilon", "gamma"]}
+    first, *others = sorted(total, key=lambda w: (total[w], w))[:4]
+    want = {d for (d, _), x in zip(docs, ws, strict=True) if any(w == first and all(o in x[max(0, p - 20) : p + 21] for o in others) for p, w in enumerate(x))}
+    assert {r.id[0] for r in rows if r.near} == want and 0 < len(want) < 6
+
+
 def test_empty(spark):
     none = bench(spark, []).limit(0)
     assert got(D.contamination_report(empty_docs(spark), bench(spark, ITEMS))) == []
