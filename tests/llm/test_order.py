@@ -122,6 +122,21 @@ def test_mixing_of_skewed_sources(spark, block):
     check_mix(rows, M.mixing_report(docs, {"hot": 0.5, "a": 0.3, None: 0.1}, block_rows=block).collect(), block)
 
 
+def test_mixing_keeps_exact_targets(spark):
+    """Over a long schedule each source stays within a block of the requested weight, also one far below a thousandth."""
+    target = {"a": 1 / 3, "b": 2 / 3 - 1 / 7000, "c": 1 / 7000}
+    rows = {"a": 3500, "b": 7000, "c": 3}
+    docs = spark.range(10503).selectExpr("id AS doc_id", "string(id) AS text", "CASE WHEN id < 3500 THEN 'a' WHEN id < 10500 THEN 'b' ELSE 'c' END AS source")
+    got = M.mixing_report(docs, target, block_rows=1).collect()
+    assert Counter(r.source for r in got) == Counter(rows) and len({r.slot for r in got}) == len(got)
+    assert all(abs(r.weight - target[r.source]) < 1e-12 for r in got)
+    done = Counter()
+    for r in sorted(got, key=lambda r: r.slot):
+        done[r.source] += 1
+        if done["b"] < rows["b"] and done["a"] < rows["a"]:
+            assert all(abs(done[s] - w * (r.slot + 1)) < 1 + 1e-9 for s, w in target.items())
+
+
 def test_mixing_of_edge_cases(spark):
     check_mix([(r[0], r[1], r[3]) for r in edge_rows()], M.mixing_report(edge_docs(spark), block_rows=2).collect(), 2)
 
