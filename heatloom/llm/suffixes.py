@@ -1,19 +1,19 @@
-"""Repeated passages by bucket-pointer refinement on a sparse suffix array.
+"""Repeated passages by winnowed runs of windows and hashes of whole windows.
 
 Every byte that lies in a ``LENGTH``-byte string which also starts earlier (in a document with a smaller id, or earlier in the
-same one) is removed. Buckets of suffixes are refined in three steps; what a step has settled is reused by the next:
+same one) is removed. This takes three steps, each on what the step before has left open; there is no suffix
+order, no pointer from bucket to bucket and no recursion:
 
 1. *Initial q-gram buckets.* Each ``LENGTH``-byte window belongs to the q-gram in it with the smallest hash (the leftmost of
    equals), and to one of ``CELLS`` cells by the place of the q-gram in the window. All windows of a q-gram and cell have some bytes
    around the q-gram in common (two thirds of a window); these are the bucket. Equal windows have equal q-grams at
    equal places, so they share a bucket. Consecutive windows with the same q-gram and cell form a *run*; there is a run for
    about every 25 bytes, and only runs are shuffled and sorted, by bucket.
-2. *Refinement by later offsets.* Inside a bucket, runs are sorted by an identifier of all that they span, from the first byte
+2. *Runs.* Inside a bucket, runs are sorted by an identifier of all that they span, from the first byte
    of their first window to the last byte of their last. Runs with the same identifier have the same windows: the
    first of them in document order leads, all others are removed whole. A bucket with one leader is settled.
-3. *Recursion.* Leaders that share a bucket differ somewhere in their spans, so only these are taken apart into their windows. A
-   window's bucket is refined by the identifiers of the pieces at later offsets that make it up, and again the first one
-   stays and all others are removed. Followers of a leader have been settled in step 2 and need no second look.
+3. *Windows.* Leaders that share a bucket differ somewhere in their spans, so only these are taken apart into their windows.
+   Windows are grouped by two hashes of all their bytes, and again the first one stays and all others are removed. Followers of a leader have been settled in step 2 and need no second look.
 
 Identifiers are 64-bit polynomial hashes of the bytes, with the bucket or a second hash beside them, so that 128 bits must agree.
 Sorting by bucket streams: a task holds one bucket's leader at a time, however large the bucket. Very long texts are read in pieces
