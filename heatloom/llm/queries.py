@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from heatloom.functions.tables import new_path
-from heatloom.llm import context_mixing, decontamination, html_text, licenses, mixing, quality, sharding, simhash, suffixes, token_store
+from heatloom.llm import context_mixing, decontamination, html_text, licenses, mixing, quality, sharding, simhash, suffixes, token_store, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_context_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op12_partenum_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_report(table(spark, sf_dir, "documents"))
