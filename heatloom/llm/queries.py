@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from heatloom.functions.tables import new_path
-from heatloom.llm import context_mixing, decontamination, html_text, licenses, mixing, quality, sharding, simhash, suffixes, token_store, variants
+from heatloom.llm import context_mixing, decontamination, html_text, lexical_search, licenses, mixing, quality, quality_model, sharding, simhash, suffixes, token_store, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +128,27 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_partenum_variants")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variant_report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_additive_quality")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_all FROM d WHERE len(terms) > 0),
+i AS (SELECT DISTINCT id, item_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS id, item_id, {_TERMS} AS terms FROM benchmark)),
+tf AS (SELECT id, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*)::BIGINT AS tf FROM (SELECT id, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d)
+       WHERE term IN (SELECT term FROM i) GROUP BY id, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, n_docs),
+p AS (SELECT i.id AS item, item_id, tf.id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_all))))::BIGINT AS score
+      FROM i JOIN tf ON i.term = tf.term JOIN w ON w.term = i.term, s GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM p WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@query("op13_ball_tree_search", SEARCH_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
