@@ -36,44 +36,83 @@ def quantiles(
     method: str = "linear",
     accuracy: int = 10_000,
     few_groups: bool = False,
+    spread: list[str] | str | None = None,
+    also: dict[str, Column] | None = None,
+    join: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Exact quantiles of ``col`` per group, one output column per entry of ``probs``; nulls are ignored.
 
-    The built-in exact percentile keeps all distinct values of a group in one buffer. Here a mergeable sketch first
-    brackets each wanted rank; values outside the bracket are only counted (before the shuffle), and only the few
-    distinct values inside it are ranked, cell by cell, so neither a hot group nor the size of the table puts a whole
+    The built-in exact percentile keeps all distinct values of a group in one buffer. Here a first scan makes a mergeable sketch that
+    brackets each wanted rank. A second scan counts: values outside the brackets by zone, the few inside by value, both before anything
+    is shuffled, so what is shuffled are counts. They are ranked cell by cell, so neither a hot group nor the size of the table puts a whole
     bracket into one task. If a rank were ever outside its bracket the query fails rather than returning a neighbour.
-    Equal values of a group are counted before rows meet their bracket, so a group of mostly equal values is spread
-    like any other.
 
-    Without ``by``, or where the caller knows that there are only a few groups (columns, splits), the sketch is
-    handed to the rows as it is and no row is shuffled.
+    ``also`` are further aggregates of each group (``by`` is not empty), made by the first scan; with them, groups without any value have a row as well. Where groups
+    are too many for their brackets to be handed to the rows as they are, rows are spread within a group by ``spread``, columns that vary
+    there (by default the value), or brought together by ``join``, which sees these columns. Without ``by``, or where the caller knows that there are only a few groups (columns, splits), brackets are
+    always handed over and no row is shuffled.
     """
     by = [by] if isinstance(by, str) else list(by)
-    rank_of = METHODS[method]
-    margin = 3.0 / accuracy
-    names = list(probs)
-    edges = []
-    for name in names:
-        edges += [max(0.0, probs[name] - margin), min(1.0, probs[name] + margin)]
-    rows = df.select(*by, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    keys = by
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", edges, accuracy).alias("_edges"),
-    )
-    rows = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    if not keys:
-        whole = sketch.select(F.struct("*")).scalar()
-        marked = rows.withColumn("_s", whole).select("_v", "_w", "_s._n", "_s._edges")
+    spread = ["_v"] if spread is None else [spread] if isinstance(spread, str) else list(spread)
+    value = F.col(col).cast("double")
+    firsts = df.groupBy(*by).agg(*_brackets(value, probs, accuracy), *[c.alias(name) for name, c in (also or {}).items()])
+    extra = [c for c in spread if c not in (*by, "_v")]
+    rows = df.select(*by, *extra, value.alias("_v")).filter(F.col("_v").isNotNull())
+    if not by:
+        whole = firsts.select(F.struct("_n", "_edges")).scalar()
+        marked = rows.withColumn("_s", whole).select("_v", "_s._n", "_s._edges")
     elif few_groups:
-        marked = rows.join(F.broadcast(sketch), keys)
+        marked = rows.join(F.broadcast(firsts.select(*by, "_n", "_edges")), by)
+    elif join:
+        marked = join(rows, firsts.select(*by, "_n", "_edges"))
     else:
-        marked = spread_join(rows, sketch, keys, "inner", by="_v")
+        marked = spread_join(rows, firsts.select(*by, "_n", "_edges"), by, "inner", by=spread)
+    found = _selected(marked, by, probs, method)
+    if not also:
+        return found
+    more = firsts.select(*by, *also)
+    return more.join(F.broadcast(found), by, "left") if few_groups else more.join(found, by, "left")
+
+
+def column_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], method: str = "linear", accuracy: int = 10_000, also: dict[str, Callable] | None = None) -> DataFrame:
+    """Exact quantiles of several columns, one row per ``column``, and further aggregates of each: functions of its name.
+
+    All columns share the first scan, without a row per value; in the second a value only makes a row inside its task, where it is counted.
+    """
+    also = also or {}
+    parts = []
+    for i, c in enumerate(cols):
+        parts += [x.alias(f"_{name}{i}") for x, name in zip(_brackets(F.col(f"`{c}`").cast("double"), probs, accuracy), ("n", "edges"), strict=True)]
+        parts += [make(c).alias(f"_a{i}_{name}") for name, make in also.items()]
+    one = df.agg(*parts)
+    rows = [
+        F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("_n"), F.col(f"_edges{i}").alias("_edges"), *[F.col(f"_a{i}_{name}").alias(name) for name in also])
+        for i, c in enumerate(cols)
+    ]
+    firsts = one.select(F.inline(F.array(*rows)))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("_v")) for c in cols])).alias("_r")).select("_r.*")
+    marked = long.filter(F.col("_v").isNotNull()).join(F.broadcast(firsts.select("column", "_n", "_edges")), "column")  # a row per column
+    found = _selected(marked, ["column"], probs, method).drop("n")
+    return firsts.select("column", *also).join(F.broadcast(found), "column", "left")
+
+
+def _brackets(value: Column, probs: dict[str, float], accuracy: int) -> list[Column]:
+    """Number of values, and the edges between which each wanted rank lies."""
+    margin = 3.0 / accuracy
+    edges = []
+    for p in probs.values():
+        edges += [max(0.0, p - margin), min(1.0, p + margin)]
+    return [F.count(value).alias("_n"), F.percentile_approx(value, edges, accuracy).alias("_edges")]
+
+
+def _selected(marked: DataFrame, keys: list[str], probs: dict[str, float], method: str) -> DataFrame:
+    """Quantiles of ``_v`` from rows that have the number of values ``_n`` and the brackets ``_edges`` of their group."""
+    rank_of = METHODS[method]
+    names = list(probs)
     # values inside a bracket stay as they are, those between two brackets become one counted group
     v = F.col("_v")
     inside, zone, edge = F.lit(False), F.lit(0), F.lit(False)
-    for i in range(0, len(edges), 2):
+    for i in range(0, 2 * len(names), 2):
         low, high = F.col("_edges")[i], F.col("_edges")[i + 1]
         inside = inside | v.between(low, high)
         zone = zone + (v > low).cast("int") + (v > high).cast("int")
@@ -87,7 +126,7 @@ def quantiles(
         marked.groupBy(
             *keys, "_n", zone.alias("_zone"), F.when(inside, F.coalesce(cell, F.lit(0))).otherwise(-1).alias("_cell"), F.when(inside, v).alias("_exact")
         )
-        .agg(F.sum("_w").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
     # running counts over the cells of a group, whose number is bounded, then over the values of one cell
     cells = counted.groupBy(*place).agg(F.sum("_c").alias("_in"), F.min("_lo").alias("_least"), F.max("_hi").alias("_most"))

@@ -9,7 +9,8 @@ already have. The seam is thousands of times smaller than the rows.
 Offsets of more than one row use ``neighbours``: rows are numbered, cut into runs of ``chunk`` consecutive rows, and
 each run gets copies of the rows next to it.
 
-A series has one row per id and time, so a slice holds at most ``points`` rows. ``id`` is never null.
+A series has one row per id and time, so a slice holds at most ``points`` rows; where rows meet their neighbours a repeated time
+is an error, as is a session outside UTC. ``id`` is never null.
 """
 
 from __future__ import annotations
@@ -20,8 +21,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from heatloom.functions.skew import is_small, spread_join
+from heatloom.functions.tables import store_buckets
+
 SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
 SLICE = "_slice"
+UTC = ("UTC", "Z", "GMT", "Etc/UTC", "+00:00")
 
 
 @dataclass(frozen=True)
@@ -63,8 +68,39 @@ class Series:
         return F.floor((self.epoch(later) - self.epoch(earlier)) / F.lit(self.seconds)).cast("long")
 
     def sliced(self, df: DataFrame) -> DataFrame:
+        if SLICE in df.columns:  # laid out already
+            return df
+        zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+        if zone not in UTC:
+            raise ValueError(f"series need a session in UTC, where days have 24 hours; this one is in {zone}")
         return df.withColumn(SLICE, F.floor(self.epoch() / F.lit(self.seconds * self.points)).cast("long"))
 
+    def laid_out(self, df: DataFrame) -> DataFrame:
+        """``df`` stored by series and slice, in time order, with its slice as a column that operators keep.
+
+        Windows inside slices and the joins of seams then take the rows where they lie: what follows shuffles seams, never rows.
+        """
+        return store_buckets(self.sliced(df), [self.id, SLICE], [self.id, SLICE, self.time])
+
+    def spread_over(self, df: DataFrame) -> list[str]:
+        """Columns that tell where in a series a row is."""
+        return [self.time, SLICE] if SLICE in df.columns else [self.time]
+
+    def attach(self, df: DataFrame, dim: DataFrame) -> DataFrame:
+        """Rows of ``df`` with the columns of ``dim``, which has one row per series; series without one are left out.
+
+        Rows that are laid out stay where they are: ``dim`` is first joined to the slices of each series, which are few, and then to the rows
+        on series and slice. Other rows are spread over salts.
+        """
+        if SLICE not in df.columns or is_small(dim):
+            return spread_join(df, dim, self.id, "inner", by=self.time)
+        slices = df.select(self.id, SLICE).distinct().join(dim, self.id)
+        return df.join(slices, [self.id, SLICE])
+
+    def unsliced(self, out: DataFrame, df: DataFrame) -> DataFrame:
+        """``out`` with a slice column only if ``df``, which it was made of, has one."""
+        return out if SLICE in df.columns else out.drop(SLICE)
+
     @property
     def inside(self) -> WindowSpec:
         return Window.partitionBy(self.id, SLICE).orderBy(self.time)
@@ -111,10 +147,17 @@ class Series:
             inside[following] = lambda w: F.lead(row).over(w)
         out = self.carry(df, per_slice, across, inside)
         if previous:
-            out = out.withColumn(previous, F.coalesce(previous, "_before")).drop("_before")
+            out = out.withColumn(previous, F.coalesce(self.once(F.col(previous)), F.col("_before"))).drop("_before")
         if following:
-            out = out.withColumn(following, F.coalesce(following, "_after")).drop("_after")
-        return out.drop(SLICE)
+            out = out.withColumn(following, F.coalesce(self.once(F.col(following)), F.col("_after"))).drop("_after")
+        return self.unsliced(out, df)
+
+    def twice(self) -> Column:
+        return F.raise_error(F.concat(F.lit("two rows at "), F.col(self.time).cast("string"), F.lit(" in series "), F.col(self.id).cast("string")))
+
+    def once(self, neighbour: Column) -> Column:
+        """``neighbour`` (a struct with the time), or an error if that row has the same time as this one."""
+        return F.when(neighbour[self.time] == F.col(self.time), F.when(self.twice().isNull(), neighbour)).otherwise(neighbour)
 
     def numbered(self, df: DataFrame, position: str = "_pos", total: str = "_total") -> DataFrame:
         """Zero-based position of each row in its series and the length of the series."""
@@ -125,10 +168,11 @@ class Series:
                 "_offset": lambda w: F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                 total: lambda w: F.sum("_n").over(Window.partitionBy(self.id)),
             },
-            {position: lambda w: F.row_number().over(w)},
+            {position: lambda w: F.row_number().over(w), "_earlier": lambda w: F.lag(self.time).over(w)},
         )
-        place = F.col(position).cast("long") - 1 + F.coalesce("_offset", F.lit(0))
-        return out.withColumn(position, place).drop("_offset", SLICE)
+        again = F.when(F.col("_earlier") == F.col(self.time), self.twice().cast("long"))
+        place = F.col(position).cast("long") - 1 + F.coalesce("_offset", F.lit(0)) + F.coalesce(again, F.lit(0))
+        return self.unsliced(out.withColumn(position, place).drop("_offset", "_earlier"), df)
 
     def totals(self, df: DataFrame, aggregates: dict[str, tuple[Column, Callable[[Column], Column]]]) -> DataFrame:
         """Attach aggregates of the whole series; each is given as (per-slice aggregate, how slices combine)."""
@@ -141,7 +185,7 @@ class Series:
                 for name, (_, combine) in aggregates.items()
             },
         )
-        return out.drop(SLICE)
+        return self.unsliced(out, df)
 
     def running_sum(self, df: DataFrame, col: str, out: str) -> DataFrame:
         """Cumulative sum in time order, null counted as zero."""
@@ -152,7 +196,7 @@ class Series:
             {"_offset": lambda w: F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1))},
             {out: lambda w: F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))},
         )
-        return rows.withColumn(out, F.col(out) + F.coalesce("_offset", F.lit(0))).drop("_offset", SLICE)
+        return self.unsliced(rows.withColumn(out, F.col(out) + F.coalesce("_offset", F.lit(0))).drop("_offset"), df)
 
     def known(self, df: DataFrame, value: Column, before: str | None = None, after: str | None = None) -> DataFrame:
         """Nearest rows strictly before / after a row at which ``value`` is not null, as struct (time, value)."""
@@ -180,7 +224,52 @@ class Series:
             out = out.withColumn(before, F.coalesce(before, "_before")).drop("_before")
         if after:
             out = out.withColumn(after, F.coalesce(after, "_after")).drop("_after")
-        return out.drop(SLICE)
+        return self.unsliced(out, df)
+
+    def runs(
+        self,
+        df: DataFrame,
+        begins: Column,
+        counted: Column,
+        also: dict[str, tuple[Column, Callable[[Column], Column]]] | None = None,
+    ) -> DataFrame:
+        """Runs from one row at which ``begins`` is true to the next: ``_length``, the number of rows of the run at which ``counted`` is
+        not null, and ``_leading``, whether it is the run before the first such row. ``also`` are aggregates of the series, as in ``totals``.
+
+        A slice is summed up by the counts of its run that is open at the front, of the one open at the back (the same if none
+        begins in it) and whether one begins. Such summaries combine: a run over several slices is a back, whole slices, a front, which
+        are added up over the seam. Rows are shuffled once and joined to the seam only.
+        """
+        past, also = Window.unboundedPreceding, also or {}
+        move = F.coalesce(begins.cast("long"), F.lit(0))
+        whole, slice_ = Window.partitionBy(self.id), Window.partitionBy(self.id, SLICE)
+        opens = F.col("_moves") > 0
+        out = self.carry(
+            df,
+            {
+                "_moves": F.max("_here"),
+                "_front": F.count(F.when(F.col("_here") == 0, counted)),
+                "_back": F.count(F.when(F.col("_here") == F.col("_last"), counted)),
+                **{f"_{name}": first for name, (first, _) in also.items()},
+            },
+            {
+                # slices with the same number of earlier slices in which a run begins have the same run open at their front
+                "_class": lambda w: F.coalesce(F.sum(opens.cast("long")).over(w.rowsBetween(past, -1)), F.lit(0)),
+                "_before": lambda w: F.coalesce(F.last(F.when(opens, F.col("_back")), True).over(w.rowsBetween(past, -1)), F.lit(0)),
+                "_enters": lambda w: F.sum("_front").over(Window.partitionBy(self.id, "_class")) + F.col("_before"),
+                "_leaves": lambda w: F.coalesce(F.lead("_enters").over(w), F.col("_back")),
+                **{name: (lambda w, name=name, combine=combine: combine(F.col(f"_{name}")).over(whole)) for name, (_, combine) in also.items()},
+            },
+            {
+                "_here": lambda w: F.sum(move).over(w.rowsBetween(past, 0)),
+                "_last": lambda w: F.max("_here").over(slice_),
+            },
+        )
+        inner = F.count(counted).over(Window.partitionBy(self.id, SLICE, "_here"))
+        front, back = F.col("_here") == 0, F.col("_here") == F.col("_last")
+        out = out.withColumn("_length", F.when(front, F.col("_enters")).when(back, F.col("_leaves")).otherwise(inner))
+        out = out.withColumn("_leading", front & (F.col("_class") == 0))
+        return self.unsliced(out.drop("_here", "_last", "_class", "_before", "_enters", "_leaves"), df)
 
     def neighbours(
         self, df: DataFrame, before: int, after: int, columns: Callable[[WindowSpec], dict[str, Column]]

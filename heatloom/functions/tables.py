@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,8 +17,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Setting that removes the shuffle files of a statement when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Paths handed out and not yet deleted.
+#: Paths handed out and not yet deleted; names of the bucketed tables among them.
 _PATHS: list[str] = []
+_TABLES: dict[str, str] = {}
 
 
 def _on_store(spark: SparkSession, path: str):
@@ -43,6 +46,8 @@ def drop_stored(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         if path in _PATHS:
             store, at = _on_store(spark, path)
+            if path in _TABLES:
+                spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(path)}")
             store.delete(at, True)
             _PATHS.remove(path)
 
@@ -56,21 +61,36 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
-def settle(df: DataFrame, since: list[str]) -> DataFrame:
-    """Store ``df`` and delete what it was made of: the tables stored after ``since`` (see ``stored_paths``) was taken."""
-    out = materialize(df)
-    mine = stored_paths()[-1]
-    drop_stored(df.sparkSession, [p for p in stored_paths() if p not in since and p != mine])
-    return out
+def store_buckets(df: DataFrame, keys: list[str], order: list[str], buckets: int | None = None) -> DataFrame:
+    """``df`` stored in the shared folder in ``buckets`` files by a hash of ``keys``, each sorted by ``order``.
+
+    Spark knows how such a table is dealt out, so windows, aggregates and joins by ``keys`` do not shuffle its rows. The number of buckets
+    is that of shuffle partitions if none is given. The table is deleted like other stored tables.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions")) if buckets is None else buckets
+    path = new_path(spark)
+    name = f"stored_{path.rsplit('/', 1)[-1]}"
+    with _shuffles_removed(spark):
+        dealt = df.repartition(n, *keys).sortWithinPartitions(*order)
+        dealt.write.bucketBy(n, *keys).sortBy(*order).format("parquet").option("path", path).saveAsTable(name)
+    _TABLES[path] = name
+    return spark.table(name)

@@ -39,14 +39,14 @@ def drop_reconnect_spikes(df: DataFrame, s: Series = DAILY, min_gap: int | None
 
 def iqr_bounds(df: DataFrame, s: Series = DAILY, col: str = "diff", k: float = 1.5) -> DataFrame:
     """Lower and upper bound per series from nearest-rank quartiles."""
-    q = quantiles(df, s.id, col, {"q25": 0.25, "q75": 0.75}, method="nearest")
+    q = quantiles(df, s.id, col, {"q25": 0.25, "q75": 0.75}, method="nearest", spread=s.spread_over(df), join=s.attach)
     spread = F.lit(float(k)) * (F.col("q75") - F.col("q25"))
     return q.select(s.id, (F.col("q25") - spread).alias("_lower"), (F.col("q75") + spread).alias("_upper"))
 
 
 def iqr_filter(df: DataFrame, s: Series = DAILY, col: str = "diff", k: float = 1.5) -> DataFrame:
     """Keep values up to the upper quartile plus ``k`` times the quartile distance of their series."""
-    rows = spread_join(df, iqr_bounds(df, s, col, k), s.id, "inner", by=s.time)
+    rows = s.attach(df, iqr_bounds(df, s, col, k))
     return rows.filter(F.col(col) <= F.col("_upper")).drop("_lower", "_upper")
 
 
@@ -72,31 +72,16 @@ def drop_flat_lines(df: DataFrame, s: Series = DAILY, thresh: int | None = None,
     """
     thresh = FLAT_LINE_LIMIT[s.step] if thresh is None else thresh
     value = F.col(col)
-    moves = F.coalesce((value != 0).cast("long"), F.lit(0))
-    rows = s.carry(
-        df,
-        {"_moves": F.sum(moves), "_begin": F.min(F.when(value.isNotNull(), F.col(s.time)))},
-        {
-            "_offset": lambda w: F.sum("_moves").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-            "_start": lambda w: F.min("_begin").over(Window.partitionBy(s.id)),
-        },
-        {"_run": lambda w: F.sum(moves).over(w.rowsBetween(Window.unboundedPreceding, 0))},
-    )
-    rows = rows.withColumn("_run", F.col("_run") + F.coalesce("_offset", F.lit(0))).drop("_offset", SLICE)
-    long_runs = (
-        rows.groupBy(s.id, "_run").agg(F.count(value).alias("_n")).filter(F.col("_n") - 1 > thresh)
-        .select(s.id, "_run", F.lit(True).alias("_long"))
-    )
-    rows = spread_join(rows, long_runs, [s.id, "_run"], by=s.time)
-    first = (value != 0) | ((F.col("_run") == 0) & (F.col(s.time) == F.col("_start")))
-    keep = F.col("_long").isNull() | value.isNull() | first
-    return rows.filter(keep).drop("_run", "_start", "_long")
+    rows = s.runs(df, value != 0, value, also={"_begin": (F.min(F.when(value.isNotNull(), F.col(s.time))), F.min)})
+    first = (value != 0) | (F.col("_leading") & (F.col(s.time) == F.col("_begin")))
+    keep = (F.col("_length") - 1 <= thresh) | value.isNull() | first
+    return rows.filter(keep).select(*df.columns)
 
 
 def drop_positive_jumps(df: DataFrame, s: Series = DAILY, factor: float = 50, col: str = "diff") -> DataFrame:
     """Keep values below ``factor`` times the median of their series; a median of zero deletes the series."""
-    medians = quantiles(df, s.id, col, {"_median": 0.5}).drop("n")
-    rows = spread_join(df, medians, s.id, "inner", by=s.time)
+    medians = quantiles(df, s.id, col, {"_median": 0.5}, spread=s.spread_over(df), join=s.attach).drop("n")
+    rows = s.attach(df, medians)
     return rows.filter(F.col(col) < F.col("_median") * F.lit(factor)).drop("_median")
 
 

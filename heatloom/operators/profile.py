@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heatloom.functions.order import quantiles
+from heatloom.functions.order import column_quantiles, quantiles
 from heatloom.functions.series import DAILY, HOURLY, SLICE, Series
 from heatloom.functions.skew import spread_join
 
@@ -52,9 +52,10 @@ def missing_points(df: DataFrame, s: Series = DAILY) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min(s.time).alias("start_date"), F.max(s.time).alias("end_date")
     )
     grid = s.steps(F.col("start_date"), F.col("end_date")) + 1
+    repeated = F.raise_error(F.concat(F.lit("more readings than grid points in "), F.col(s.id).cast("string"))).cast("bigint")
     return per.select(
         s.id,
-        (grid - F.col("n")).alias("len"),
+        F.when(F.col("n") > grid, repeated).otherwise(grid - F.col("n")).alias("len"),
         "n",
         (F.col("n") / (grid + 1) * 100).alias("per"),
         "start_date",
@@ -120,18 +121,18 @@ def rollup_hourly_mean(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (
 
 def building_stats(df: DataFrame, s: Series = DAILY, col: str = "diff", head: int = 30) -> DataFrame:
     """Mean, deviation, median, extremes, length and the first ``head`` readings of each series."""
-    stats = df.groupBy(s.id).agg(
-        F.avg(col).alias("avg"),
-        F.stddev_samp(col).alias("std"),
-        F.min(col).alias("min"),
-        F.max(col).alias("max"),
-        F.count(F.lit(1)).alias("len"),
-    )
-    median = quantiles(df, s.id, col, {"median": 0.5}).drop("n")
+    also = {
+        "avg": F.avg(col),
+        "std": F.stddev_samp(col),
+        "min": F.min(col),
+        "max": F.max(col),
+        "len": F.count(F.lit(1)),
+    }
+    stats = quantiles(df, s.id, col, {"median": 0.5}, spread=s.time, also=also).drop("n")
     first = s.numbered(df.select(s.id, s.time, col)).filter(F.col("_pos") < head)
     first = first.groupBy(s.id).agg(F.array_sort(F.collect_list(F.struct("_pos", col))).alias("_rows"))
     first = first.select(s.id, F.transform("_rows", lambda r: r[col]).alias("month"))
-    return stats.join(median, s.id, "left").join(first, s.id, "left")
+    return stats.join(first, s.id, "left").select(s.id, "avg", "std", "min", "max", "len", "median", "month")
 
 
 def length_filter(df: DataFrame, min_len: int = 15, id_col: str = "id") -> DataFrame:
@@ -168,12 +169,16 @@ def series_length_report(df: DataFrame, id_col: str = "id") -> DataFrame:
 
 def mode_value(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """Most frequent value per group, the smallest of equally frequent ones."""
-    out = None
-    for c in cols:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(key, c).agg(F.count(F.lit(1)).alias("_n"))
-        best = counts.groupBy(key).agg(F.min_by(c, F.struct(-F.col("_n"), F.col(c))).alias(c))
-        out = best if out is None else out.join(best, key, "full")
-    return out
+    def only(i: int) -> Column:
+        """The value of one column, with its number; the others are null."""
+        kinds = [df.schema[c].dataType for c in cols]
+        return F.struct(F.lit(i).alias("_i"), *[(F.col(c) if j == i else F.lit(None).cast(kinds[j])).alias(f"_c{j}") for j, c in enumerate(cols)])
+
+    names = [f"_c{i}" for i in range(len(cols))]
+    counts = df.select(key, F.inline(F.array(*[only(i) for i in range(len(cols))]))).groupBy(key, "_i", *names).agg(F.count(F.lit(1)).alias("_n"))
+    known = [F.when((F.col("_i") == i) & F.col(n).isNotNull(), F.struct(-F.col("_n"), F.col(n))) for i, n in enumerate(names)]
+    best = counts.groupBy(key).agg(*[F.min_by(n, k).alias(c) for n, k, c in zip(names, known, cols, strict=True)])
+    return best.dropna(how="all", subset=list(cols))
 
 
 def dedup_keys(df: DataFrame, keys: Sequence[str] = ("id", "datetime"), order: Sequence[str] = ("diff",)) -> DataFrame:
@@ -186,16 +191,15 @@ def dedup_keys(df: DataFrame, keys: Sequence[str] = ("id", "datetime"), order: S
 
 def describe_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, deviation, extremes and quartiles, one row per column."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "_x")
-    stats = long.groupBy("column").agg(
-        F.count("_x").alias("count"),
-        F.avg("_x").alias("mean"),
-        F.stddev_samp("_x").alias("std"),
-        F.min("_x").alias("min"),
-        F.max("_x").alias("max"),
-    )
-    quartiles = quantiles(long, "column", "_x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, few_groups=True).drop("n")
-    return stats.join(quartiles, "column", "left")
+    value = lambda c: F.col(f"`{c}`").cast("double")
+    also = {
+        "count": lambda c: F.count(value(c)),
+        "mean": lambda c: F.avg(value(c)),
+        "std": lambda c: F.stddev_samp(value(c)),
+        "min": lambda c: F.min(value(c)),
+        "max": lambda c: F.max(value(c)),
+    }
+    return column_quantiles(df, list(cols), {"q25": 0.25, "q50": 0.5, "q75": 0.75}, also=also)
 
 
 def missingness_profile(df: DataFrame) -> DataFrame:

@@ -1,12 +1,12 @@
-"""Cleaning chains. Stages that read their input more than once start from a stored table; the one before is deleted then."""
+"""Cleaning chains over rows that are laid out once by series and slice, so that steps shuffle seams and counts, never rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.functions.series import DAILY, Series
-from heatloom.functions.tables import settle, stored_paths
+from heatloom.functions.series import DAILY, SLICE, Series
+from heatloom.functions.tables import drop_stored, stored_paths
 from heatloom.operators.cleaning import (
     drop_flat_lines,
     drop_positive_jumps,
@@ -21,12 +21,14 @@ from heatloom.schema import SPLIT_GAP
 COLUMNS = ["id", "datetime", "diff", "value", "source"]
 
 
+def _basic(df: DataFrame, s: Series, flat_lines: int | None) -> DataFrame:
+    df = drop_reconnect_spikes(s.laid_out(drop_negative(df)), s)
+    return drop_flat_lines(iqr_filter(df, s), s, flat_lines)
+
+
 def clean_basic(df: DataFrame, s: Series = DAILY, flat_lines: int | None = None) -> DataFrame:
     """Negatives, first readings after gaps, outliers and flat lines, in that order."""
-    since = stored_paths()
-    df = settle(drop_reconnect_spikes(drop_negative(df), s), since)
-    df = settle(iqr_filter(df, s), since)
-    return drop_flat_lines(df, s, flat_lines)
+    return _basic(df, s, flat_lines).drop(SLICE)
 
 
 def clean_interpolated(
@@ -34,14 +36,14 @@ def clean_interpolated(
 ) -> DataFrame:
     """Basic cleaning, split at long gaps, fill short ones, clean again, split at what that removed.
 
-    No consumption is negative in the result; the query fails if one is.
+    No consumption is negative in the result; the query fails if one is. Two tables are stored: the rows, and the parts after the
+    split, whose ids are new.
     """
     min_gap = SPLIT_GAP[s.step] if min_gap is None else min_gap
     since = stored_paths()
-    df = settle(clean_basic(df, s, flat_lines), since)
-    df = settle(split_at_gaps(df, s, min_gap), since)
-    df = settle(drop_negative(interpolate_linear(df, s)), since)
-    df = settle(drop_positive_jumps(df, s), since)
-    df = split_at_gaps(df, s, 1)
+    parts = s.laid_out(split_at_gaps(_basic(df, s, flat_lines), s, min_gap))
+    drop_stored(df.sparkSession, [p for p in stored_paths()[:-1] if p not in since])
+    df = drop_positive_jumps(drop_negative(interpolate_linear(parts, s)), s)
+    df = split_at_gaps(df, s, 1).drop(SLICE)
     bad = F.raise_error(F.lit("negative consumption after cleaning")).cast("double")
     return df.withColumn("diff", F.when(F.col("diff") < 0, bad).otherwise(F.col("diff")))

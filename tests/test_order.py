@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heatloom.functions.order import hash_order, quantiles, sorted_offset
+from heatloom.functions.order import column_quantiles, hash_order, quantiles, sorted_offset
 from heatloom.functions.skew import spread_join
 from tests.data import rows_of
 
@@ -53,6 +53,40 @@ def test_quantiles_ignore_null(spark):
     assert rows_of(quantiles(df, "g", "x", {"m": 0.5})) == [("a", 2, 2.0)]
 
 
+def test_quantiles_with_further_aggregates(shuffled):
+    """Aggregates of the first scan, with a row for groups without values; a hot group of equal values is spread by another column."""
+    data, df = groups(shuffled)
+    df = df.withColumn("k", F.monotonically_increasing_id()).unionByName(shuffled.createDataFrame([("none", None, 1)], "g string, x double, k long"))
+    also = {"total": F.sum("x"), "rows": F.count(F.lit(1))}
+    out = {r["g"]: r for r in quantiles(df, "g", "x", {"m": 0.5}, spread="k", also=also).collect()}
+    assert out["none"]["m"] is None and out["none"]["rows"] == 1 and set(out) == {*data, "none"}
+    for g, values in data.items():
+        assert out[g]["m"] == pytest.approx(np.median(values)) and out[g]["total"] == pytest.approx(sum(values)) and out[g]["n"] == len(values)
+
+
+@pytest.mark.parametrize("accuracy", [40, 10_000])
+def test_quantiles_of_columns(spark, accuracy):
+    """Columns of several types, with nulls, ties, infinite values and none at all."""
+    rnd = random.Random(9)
+    rows = [(rnd.gauss(0, 1), rnd.choice([1, 2, 2, 9, None]), rnd.choice([float("inf"), -float("inf"), 0.0, 1.5]), None) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "a double, `b c` int, d double, e double")
+    out = column_quantiles(df, ["a", "b c", "d", "e"], PROBS, "nearest", accuracy, {"total": lambda c: F.count(f"`{c}`")})
+    got = {r["column"]: r for r in out.collect()}
+    for i, c in enumerate(df.columns):
+        values = sorted(float(r[i]) for r in rows if r[i] is not None)
+        assert got[c]["total"] == len(values)
+        for name, p in PROBS.items():
+            assert got[c][name] == (values[math.floor((len(values) - 1) * p + 0.5)] if values else None), (c, name)
+
+
+def test_no_value_is_shuffled(spark):
+    """Of many different values only counts and the few inside the brackets are rows of a shuffle."""
+    from tests.test_layout import shuffled_records
+
+    df = spark.range(200_000).select((F.col("id") % 7).alias("g"), F.xxhash64("id").cast("double").alias("x")).repartition(6)
+    assert shuffled_records(spark, quantiles(df, "g", "x", {"q25": 0.25, "q75": 0.75}))[1] < 6_000  # the first is the repartition above
+
+
 def test_hash_order_is_a_permutation(spark):
     df = spark.range(5000).withColumn("k", F.col("id").cast("string"))
     out = hash_order(df, ["k"], 7)

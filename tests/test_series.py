@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from heatloom import Series
-from tests.data import by_series, random_series, rows_of
+from heatloom.operators.profile import missing_points
+from tests.data import by_series, random_series, rows_of, series
 
 CASES = [Series("day", points=1, chunk=1), Series("day", points=4, chunk=3), Series("day", points=8192, chunk=8192)]
 
@@ -69,3 +70,29 @@ def test_neighbours(df, s):
 def test_unknown_step():
     with pytest.raises(ValueError):
         Series("fortnight")
+
+
+@pytest.mark.parametrize("step", ["adjacent", "numbered", "neighbours"])
+def test_repeated_rows_are_an_error(spark, step):
+    S = CASES[1]
+    df = series(spark, a=[(0, 1), (1, 2), (1, 3), (2, 4)], b=[(0, 1)])
+    run = {
+        "adjacent": lambda: S.adjacent(df, ["diff"]),
+        "numbered": lambda: S.numbered(df),
+        "neighbours": lambda: S.neighbours(df, 1, 0, lambda w: {"p": F.lag("diff").over(w)}),
+    }[step]
+    with pytest.raises(Exception, match="two rows at 2024-01-02.* in series a"):
+        run().collect()
+    with pytest.raises(Exception, match="more readings than grid points in a"):
+        missing_points(series(spark, a=[(0, 1), (1, 2), (1, 3)])).collect()
+
+
+def test_other_time_zones_are_an_error(spark):
+    S = CASES[1]
+    key = "spark.sql.session.timeZone"
+    spark.conf.set(key, "Europe/Berlin")
+    try:
+        with pytest.raises(ValueError, match="UTC.*Europe/Berlin"):
+            S.numbered(series(spark, a=[(0, 1)]))
+    finally:
+        spark.conf.set(key, "UTC")
