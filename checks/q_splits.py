@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.views import D
-from heatloom.functions.tables import materialize, shared_folder
-from heatloom.operators import frames, rows, scaling, splits
+from heatloom.functions.tables import materialize, new_path, shared_folder
+from heatloom.operators import encoding, frames, rows, scaling, splits
 from heatloom.schema import feature_columns
 
 CUT = "CAST(0.8 AS DOUBLE)"
@@ -341,3 +341,27 @@ def _(v):
     return scaling.swap_in_noise(splits.split_time(df, 0.8, D), ["diff"], 2)
 
 
+
+
+@query(
+    "sparse_encoder",
+    """WITH codes AS (SELECT category, row_number() OVER (ORDER BY k, category) - 1 AS place, k FROM (
+        SELECT DISTINCT 0 AS k, event_type AS category FROM events WHERE event_id % 4 > 0 AND event_type <> 'view'
+        UNION ALL SELECT DISTINCT 1, CAST(user_id AS VARCHAR) FROM events WHERE event_id % 4 > 0 AND event_type <> 'view')),
+    p AS (SELECT avg(value) AS a, stddev_pop(value) AS s FROM events WHERE event_id % 4 > 0 AND event_type <> 'view')
+    SELECT event_id, 0 AS place, (value - a) / s AS value FROM events, p WHERE value IS NOT NULL
+    UNION ALL SELECT event_id, 1 + place, 1.0 FROM events JOIN codes ON k = 0 AND category = event_type
+    UNION ALL SELECT event_id, 1 + place, 1.0 FROM events JOIN codes ON k = 1 AND category = CAST(user_id AS VARCHAR)
+    UNION ALL SELECT event_id, 1 + (SELECT count(*) FROM codes), CAST(dayofweek(ts) IN (0, 6) AS DOUBLE) FROM events""",
+    "",
+    "value",
+    "place",
+)
+def _(v):
+    """Fitted on a part without one type, stored, read again and applied to all events: one row per entry of a vector."""
+    events = v.table("events").withColumn("weekend", (F.weekday("ts") >= 5).cast("double"))
+    train = events.filter("event_id % 4 > 0 AND event_type <> 'view'")
+    path = new_path(v.spark)
+    encoding.Encoder.fit(train, ["value"], ["event_type", "user_id"], ["weekend"]).save(path)
+    rows = encoding.Encoder.load(v.spark, path).transform(events, by="event_id")
+    return rows.select("event_id", F.inline(F.arrays_zip(F.col("indices").alias("place"), F.col("values").alias("value"))))

@@ -208,6 +208,10 @@ def past_future_parts(
     )
 
 
+#: Positions in a block, at least, when windows gather their rows.
+WINDOW_BLOCK = 64
+
+
 def sliding_windows(
     df: DataFrame,
     roles: Sequence[Role],
@@ -233,15 +237,20 @@ def sliding_windows(
         return {"_rows": F.collect_list(parts).over(w.rowsBetween(0, total - 1))}
 
     rows = s.neighbours(base, 0, total - 1, columns).filter(F.size("_rows") == total)
+    return _window_columns(rows, [id_col, s.id], inputs, target, total, encoder)
+
+
+def _window_columns(rows: DataFrame, ids: Sequence[str], inputs: Sequence[str], target: str, total: int, encoder: int) -> DataFrame:
+    """The columns of windows from their rows (``_rows``: time ``_t`` and inputs, in order)."""
     decoder = F.slice("_rows", encoder + 1, total - encoder)
     return rows.select(
-        *dict.fromkeys([id_col, s.id]),
+        *dict.fromkeys(ids),
         F.col("_rows")[0]["_t"].alias("window_start"),
         F.transform("_rows", lambda r: F.array(*[r[c] for c in inputs])).alias("inputs"),
         F.transform(decoder, lambda r: r[target]).alias("outputs"),
         F.transform(decoder, lambda r: F.lit(1.0)).alias("active_entries"),
         F.transform("_rows", lambda r: r["_t"]).alias("time"),
-        F.array_repeat(F.col(id_col), total).alias("identifier"),
+        F.array_repeat(F.col(ids[0]), total).alias("identifier"),
     )
 
 
@@ -255,16 +264,29 @@ def sampled_windows(
     step: str = "day",
     s: Series | None = None,
 ) -> DataFrame:
-    """At most ``m`` of the windows, chosen without replacement by a seeded hash of their first row."""
+    """At most ``m`` of the windows, chosen without replacement by a seeded hash of their first row.
+
+    Windows are chosen among their first rows, which are narrow, and then gather the rows they cover: a row is joined to the chosen windows of
+    its series that reach its block of positions, so only rows inside the sample ever meet in an array.
+    """
     if m < 1:
         raise ValueError("m must be at least 1")
-    id_col, time = column_with_role(list(roles), "id"), column_with_role(list(roles), "time")
+    check_roles(list(roles))
+    id_col, time, target = (column_with_role(list(roles), r) for r in ("id", "time", "target"))
+    inputs = [r.name for r in column_roles(list(roles)) if r.role not in ("id", "time")]
     s = s or Series(step, id=id_col, time=time)
-    # choose among window starts first: they are narrow
-    starts = s.numbered(df.select(id_col, s.time)).filter(F.col("_pos") + total <= F.col("_total"))
-    starts = hash_order(starts.select(id_col, F.col(s.time).alias("window_start")), [id_col, "window_start"], seed)
-    chosen = starts.filter(F.col("_rank") < m).select(id_col, "window_start")
-    return sliding_windows(df, roles, total, encoder, step, s).join(chosen, [id_col, "window_start"], "left_semi")
+    starts = s.numbered(df.select(*dict.fromkeys([id_col, s.id, s.time]))).filter(F.col("_pos") + total <= F.col("_total"))
+    starts = starts.select(*dict.fromkeys([id_col, s.id]), F.col(s.time).alias("window_start"), F.col("_pos").alias("_first"))
+    chosen = hash_order(starts, [id_col, "window_start"], seed).filter(F.col("_rank") < m).select(s.id, "_first")
+    size = max(total, WINDOW_BLOCK)
+    block = lambda at: F.floor(at / F.lit(size))
+    reach = chosen.withColumn("_block", F.explode(F.sequence(block(F.col("_first")), block(F.col("_first") + total - 1))))
+    base = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([id_col, s.id, s.time, time, *inputs])])
+    rows = s.numbered(base).withColumn("_block", block(F.col("_pos"))).join(reach, [s.id, "_block"])
+    rows = rows.filter((F.col("_pos") >= F.col("_first")) & (F.col("_pos") < F.col("_first") + total))
+    parts = F.struct("_pos", F.col(time).alias("_t"), *[F.col(f"`{c}`").cast("double").alias(c) for c in inputs])
+    windows = rows.groupBy(*dict.fromkeys([s.id, id_col]), "_first").agg(F.array_sort(F.collect_list(parts)).alias("_rows"))
+    return _window_columns(windows, [id_col, s.id], inputs, target, total, encoder)
 
 
 def row_index(df: DataFrame, s: Series = DAILY) -> DataFrame:

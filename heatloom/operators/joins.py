@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatloom.functions.series import Series
@@ -159,15 +159,17 @@ def subtract_meter(
 
     Both meters must have the same number of rows, otherwise the query fails.
     """
-    count = {i: F.count(F.when(F.col(id_col) == i, 1)) for i in (keep_id, remove_id)}
-    same = df.agg(count[keep_id] == count[remove_id]).scalar()
-    other = df.filter(F.col(id_col) == remove_id).select(time, F.col("diff").alias("_other"))
-    rest = df.filter(F.col(id_col) == keep_id).join(other, time, "left")
+    keep, remove = F.col(id_col) == keep_id, F.col(id_col) == remove_id
+    pair = df.filter(keep | remove)
+    same = pair.agg(F.count(F.when(keep, 1)) == F.count(F.when(remove, 1))).scalar()
+    other = F.max(F.when(remove, F.col("diff"))).over(Window.partitionBy(time))  # the two readings of one time
     checked = F.when(same, F.col("diff") - F.col("_other")).otherwise(
         F.raise_error(F.lit(f"{keep_id} and {remove_id} differ in length")).cast("double")
     )
-    rest = rest.withColumns({"diff": checked, "Title": F.lit(title)}).drop("_other")
-    return df.filter(~(F.col(id_col) == keep_id)).unionByName(rest.select(*df.columns))
+    pair = pair.withColumn("_other", other).withColumns(
+        {"diff": F.when(keep, checked).otherwise(F.col("diff")), "Title": F.when(keep, F.lit(title)).otherwise(F.col("Title"))}
+    )
+    return df.filter(~F.coalesce(keep | remove, F.lit(False))).unionByName(pair.select(*df.columns))
 
 
 def reorder_by_permutation(df: DataFrame, perm: DataFrame, position: str = "position", out: str = "day") -> DataFrame:
