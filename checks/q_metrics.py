@@ -8,7 +8,8 @@ from checks.q_frames import ROLES
 from checks.registry import query
 from checks.views import D
 from heatloom.functions.tables import materialize
-from heatloom.operators import forecast, frames, metrics
+from heatloom.operators import clustering, forecast, frames, metrics, regression
+from heatloom.operators.profile import building_stats
 from heatloom.operators.scaling import apply_scaler, fit_scaler
 
 VALUES = "mse mae rmse nrmse mape avg_diff"
@@ -71,6 +72,65 @@ def _(v):
     return forecast.predict_long(df, models, ["diff(t-1)"], s=D)
 
 
+_MERGED = """WITH t AS (SELECT * FROM (SELECT id, datetime, source, lag(diff) OVER w AS x, diff AS a, lead(diff) OVER w AS b FROM readings
+        WINDOW w AS (PARTITION BY id ORDER BY datetime)) WHERE x IS NOT NULL AND b IS NOT NULL),
+    m AS (SELECT {by} regr_slope(a, x) AS s0, regr_intercept(a, x) AS i0, regr_slope(b, x) AS s1, regr_intercept(b, x) AS i1 FROM t {group})
+    SELECT id, datetime, {by} 0 AS h, a AS y, i0 + s0 * x AS y_hat FROM t {join} m {using} UNION ALL SELECT id, datetime, {by} 1, b, i1 + s1 * x FROM t {join} m {using}"""
+
+
+@query("linear_forecast_merged", _MERGED.format(by="", group="", join="CROSS JOIN", using=""), "readings", "y y_hat", "h")
+def _(v):
+    """The sums of two parts, of which the second comes later, give the model of all rows."""
+    df = lagged(v, 1, 2)
+    x, ys = [F.col("`diff(t-1)`")], [F.col("diff"), F.col("`diff(t+1)`")]
+    early = F.col("datetime") < "2024-01-15"
+    parts = [materialize(regression.gram(df.filter(when), x, ys)) for when in (early, ~early)]
+    return forecast.predict_long(df, regression.linear_of(regression.merge_grams(parts)), ["diff(t-1)"], s=D)
+
+
+@query(
+    "linear_forecast_by", _MERGED.format(by="source,", group="GROUP BY source", join="JOIN", using="USING (source)"), "readings", "y y_hat", "h"
+)
+def _(v):
+    rows = frames.lag_lead_columns(v.readings.select("id", "datetime", "diff", "source"), 1, 2, D)
+    df = materialize(frames.drop_incomplete_lags(rows, 1, 2))
+    return forecast.linear_forecast_by(df, df, ["diff(t-1)"], 2, "source", s=D)
+
+
+@query(
+    "batch_predict_quantiles",
+    """WITH t AS (SELECT * FROM (SELECT id, datetime, diff AS x, lead(diff, 2) OVER w AS b, lag(diff) OVER w AS p FROM readings
+        WINDOW w AS (PARTITION BY id ORDER BY datetime)) WHERE b IS NOT NULL AND p IS NOT NULL)
+    SELECT datetime AS forecast_time, id AS identifier, kind, 3 + 2 * x AS "t+0", 10 - x / 2 AS "t+1" FROM t, (VALUES ('p10'), ('p50'), ('p90'), ('targets')) AS k(kind)""",
+    "readings",
+    "t+0 t+1",
+)
+def _(v):
+    """Targets on a line, which every quantile has to be."""
+    x = F.col("inputs")[1][0]
+    windows = materialize(frames.sliding_windows(v.readings, ROLES, 4, 2, s=D).withColumn("outputs", F.array(3 + 2 * x, 10 - x / 2)))
+    train = windows.select(x.alias("x"), F.col("outputs")[0].alias("diff"), F.col("outputs")[1].alias("diff(t+1)"))
+    return forecast.batch_predict(windows, forecast.quantile_forecast(train, ["x"], 2), F.array(x), 2)
+
+
+@query(
+    "quantile_coverage",
+    """SELECT kind, count(*) AS n, true AS within FROM (SELECT lag(diff) OVER w AS x FROM readings WINDOW w AS (PARTITION BY id ORDER BY datetime)),
+      (VALUES ('p10'), ('p50'), ('p90')) AS k(kind) WHERE x IS NOT NULL GROUP BY kind""",
+    "readings",
+)
+def _(v):
+    """Share of targets below each quantile, for noise that grows with the input."""
+    df = lagged(v, 1, 1)
+    noise = F.pmod(F.xxhash64("id", "datetime"), F.lit(10_000)) / 10_000
+    df = materialize(df.withColumn("x", F.col("`diff(t-1)`")).withColumn("diff", 5 + 2 * F.col("x") + (20 + F.abs("x")) * noise * noise))
+    model = forecast.quantile_forecast(df, ["x"], 1)
+    below = [(F.col("diff") <= p[0]).cast("double") for p in model.predict([F.col("x")])]
+    kinds = F.array(*[F.struct(F.lit(n).alias("kind"), F.lit(q).alias("q"), b.alias("b")) for n, q, b in zip(model.names, model.quantiles, below, strict=True)])
+    rows = df.select(F.explode(kinds).alias("k")).groupBy("k.kind").agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg("k.b") - F.first("k.q")).alias("off"))
+    return rows.select("kind", "n", (F.col("off") <= 0.01 + 2 / F.col("n")).alias("within"))
+
+
 @query(
     "tree_forecast",
     """SELECT id, datetime, h, y, y AS y_hat FROM (SELECT id, datetime, 0 AS h, CAST(CASE source WHEN 's1' THEN 20 ELSE 10 END AS DOUBLE) AS y FROM readings
@@ -111,9 +171,40 @@ def _(v):
     return forecast.batch_predict(windows, models, last, 2)
 
 
-@query("cluster_buildings")
+_STATS_OF = """SELECT id, avg(diff) AS a, stddev_samp(diff) AS s, median(diff) AS m, min(diff) AS lo, max(diff) AS hi FROM readings GROUP BY id HAVING count(*) >= 15"""
+
+
+@query(
+    "cluster_buildings",
+    f"""SELECT 'rows' AS what, count(*) * 1.0 AS value FROM ({_STATS_OF}) UNION ALL SELECT 'mean', avg(a) FROM ({_STATS_OF})
+    UNION ALL SELECT 'labels', least(3, count(DISTINCT (a, s, m, lo, hi))) * 1.0 FROM ({_STATS_OF}) UNION ALL SELECT 'ordered', 1.0""",
+    "readings",
+    "value",
+)
 def _(v):
-    return forecast.cluster_buildings(v.readings, s=D)
+    """What holds for the clusters of real readings: all series are in one, the labels are numbered by the mean of their cluster."""
+    rows = materialize(forecast.cluster_buildings(v.readings, 3, s=D))
+    means = rows.groupBy("label").agg(F.avg("avg").alias("m")).agg(F.array_sort(F.collect_list(F.struct("label", "m"))).alias("l"))  # one row a cluster
+    ordered = F.transform("l", lambda x: x["m"]) == F.array_sort(F.transform("l", lambda x: x["m"]))
+    one = rows.agg(F.count(F.lit(1)).cast("double").alias("rows"), F.avg("avg").alias("mean"), F.count_distinct("label").cast("double").alias("labels"))
+    return one.unpivot([], ["rows", "mean", "labels"], "what", "value").unionAll(means.select(F.lit("ordered"), ordered.cast("double")))
+
+
+@query(
+    "cluster_features",
+    f"""SELECT sum(n) AS n, sum(a) AS s_avg, sum(s) AS s_std, sum(lo) AS s_min, sum(q) AS q, true AS few FROM (
+      SELECT 1 AS n, a - avg(a) OVER () AS a, s - avg(s) OVER () AS s, lo - avg(lo) OVER () AS lo,
+        (a - avg(a) OVER ()) ** 2 + (s - avg(s) OVER ()) ** 2 + (lo - avg(lo) OVER ()) ** 2 AS q FROM ({_STATS_OF}))""",
+    "readings",
+    "s_avg s_std s_min q",
+    "n",
+)
+def _(v):
+    """Few leaves hold all series: their numbers, sums and squares add up to those of the whole."""
+    stats = building_stats(v.readings, D, head=1).filter("len >= 15").select("id", "avg", "std", "min")
+    _, leaf = clustering.features(stats, ["avg", "std", "min"], 8)
+    sums = [F.sum(c).alias(c) for c in ("n", "s_avg", "s_std", "s_min", "q")]
+    return leaf.agg(*sums, (F.count(F.lit(1)) <= 8).alias("few"))
 
 
 @query(
@@ -224,6 +315,51 @@ def _(v):
     return metrics.metrics_per_day(v.pred)
 
 
+LEVELS = {"all": [], "id": ["id"], "day": ["day"], "month": ["month"], "label": ["label"]}
+
+
+@query(
+    "error_moments",
+    " UNION ALL BY NAME ".join(
+        f"SELECT '{name}' AS level, {'NULL' if name == 'all' else f'CAST({name} AS VARCHAR)'} AS key, {', '.join(f'{x} + 1e-8 AS {x}' for x in VALUES.split())}, n_entries FROM ({grouped('' if name == 'all' else name, 'parted')})"
+        for name in LEVELS
+    ).replace("parted", "(SELECT *, day(datetime) AS day, month(datetime) AS month FROM pred JOIN labels_of USING (id))"),
+    "pred labels_of",
+    VALUES,
+    "n_entries",
+)
+def _(v):
+    """Every level of the evaluation from one table of moments, which two parts of the rows have been merged into.
+
+    Both sides add 1e-8, since sums in another order may end on either side of a rounding half.
+    """
+    parts = {"day": F.dayofmonth("datetime").cast("bigint"), "month": F.month("datetime").cast("bigint")}
+    rows = v.pred.join(v.labels_of.select("id", "label"), "id").withColumns(parts)
+    late = F.col("datetime") >= "2024-01-12"
+    moments = materialize(metrics.merge_moments([metrics.error_moments(rows.filter(x), LEVELS) for x in (~late, late)]))
+    out = None
+    for name, by in LEVELS.items():
+        key = F.col(by[0]).cast("string") if by else F.lit(None).cast("string")
+        table = metrics.metrics_of(moments, name, by).select(F.lit(name).alias("level"), key.alias("key"), *[(F.col(x) + 1e-8).alias(x) for x in VALUES.split()], "n_entries")
+        out = table if out is None else out.unionByName(table)
+    return out
+
+
+@query(
+    "common_rows",
+    """SELECT 'model' AS model, id, datetime, h, y, y_hat FROM pred WHERE day(datetime) % 3 > 0 AND y_hat IS NOT NULL
+    UNION ALL SELECT 'baseline', id, datetime, h, y, y_hat / 2 FROM pred WHERE day(datetime) % 3 > 0 AND y_hat IS NOT NULL""",
+    "pred",
+    "y y_hat",
+    "h",
+)
+def _(v):
+    """A baseline without some days leaves those days out for both."""
+    some = v.pred.filter(F.dayofmonth("datetime") % 3 > 0).withColumn("y_hat", F.col("y_hat") / 2)
+    both = metrics.common_rows({"model": v.pred, "baseline": some}, D)
+    return both["model"].withColumn("model", F.lit("model")).unionByName(both["baseline"].withColumn("model", F.lit("baseline")))
+
+
 _UNPIVOT = "UNPIVOT INCLUDE NULLS ({} FOR metric IN (mse, mae, rmse, nrmse, mape))"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from heatloom.functions.order import quantiles
 from heatloom.functions.series import DAILY, Series
 from heatloom.functions.skew import spread_join
+from heatloom.functions.tables import materialize
 
 EPS = 2.220446049250313e-16
 NAMES = ("mse", "mae", "rmse", "nrmse", "mape")
@@ -99,16 +100,81 @@ def metrics_per_day(pred: DataFrame, time: str = "datetime") -> DataFrame:
     return _by_part(pred, F.dayofmonth(time), "day")
 
 
-def metrics_per_cluster(preds: dict[str, DataFrame], labels: DataFrame, s: Series = DAILY) -> DataFrame:
-    """Metrics per cluster of several models side by side, one row per cluster and metric."""
+def _tagged(preds: dict[str, DataFrame], s: Series, name: str = "model") -> DataFrame:
     out = None
-    for name, pred in preds.items():
-        rows = spread_join(pred, labels.select(s.id, "label"), s.id, "inner", by=[s.time, "h"])
-        part = _grouped(rows, ["label"]).unpivot(["label"], list(NAMES), "metric", name)
-        out = part if out is None else out.join(part, ["label", "metric"], "full")
+    for model, pred in preds.items():
+        rows = pred.select(s.id, s.time, "h", "y", "y_hat", F.lit(model).alias(name))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def metrics_per_cluster(preds: dict[str, DataFrame], labels: DataFrame, s: Series = DAILY) -> DataFrame:
+    """Metrics per cluster of several models side by side, one row per cluster and metric, from one aggregate over all of them."""
+    rows = spread_join(_tagged(preds, s, "_model"), labels.select(s.id, "label"), s.id, "inner", by=[s.time, "h"])
+    found = _grouped(rows, ["label", "_model"])
+    values = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in NAMES])
+    long = found.select("label", "_model", F.inline(values))
+    return long.groupBy("label", "metric").agg(*[F.max(F.when(F.col("_model") == m, F.col("v"))).alias(m) for m in preds])
+
+
+def common_rows(preds: dict[str, DataFrame], s: Series = DAILY) -> dict[str, DataFrame]:
+    """The predictions of each model for the rows (series, time, horizon) that all models predict, so that errors can be compared.
+
+    All models are brought together by one shuffle and stored once.
+    """
+    names = list(preds)
+    values = [F.max(F.when(F.col("model") == m, F.col("y_hat"))).alias(f"_p{i}") for i, m in enumerate(names)]
+    both = _tagged(preds, s).groupBy(s.id, s.time, "h").agg(F.max("y").alias("y"), *values).dropna(subset=[f"_p{i}" for i in range(len(names))])
+    both = materialize(both)
+    return {m: both.select(s.id, s.time, "h", "y", F.col(f"_p{i}").alias("y_hat")) for i, m in enumerate(names)}
+
+
+#: Columns of a table of moments that add up.
+MOMENTS = ["n", "n_errors", "sum_y", "sum_square", "sum_abs", "sum_share"]
+
+
+def error_moments(pred: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+    """Sums of errors per horizon for the groups of every level, from one scan and one shuffle (grouping sets).
+
+    ``levels`` names lists of columns, an empty one for everything. Rows have their ``level``, its columns (others are null), ``h`` and ``MOMENTS``.
+    Tables of the same levels are merged by adding, so metrics over later data need the new rows only.
+    """
+    cols = list(dict.fromkeys(c for level in levels.values() for c in level))
+    error = F.col("y") - F.col("y_hat")
+    safe = F.when(F.col("y") == 0, F.lit(EPS)).otherwise(F.col("y"))
+    keys = [*cols, "h"]
+    sums = [F.count("y"), F.count(error), F.sum("y"), F.sum(error * error), F.sum(F.abs(error)), F.sum(F.abs(error / safe))]
+    rows = pred.groupingSets([[*level, "h"] for level in levels.values()], *keys).agg(
+        F.grouping_id().alias("_g"), *[x.alias(name) for x, name in zip(sums, MOMENTS, strict=True)]
+    )
+    number = {name: sum(1 << (len(keys) - 1 - i) for i, c in enumerate(keys) if c not in (*level, "h")) for name, level in levels.items()}
+    level = F.create_map(*[F.lit(x) for name, g in number.items() for x in (g, name)])[F.col("_g").cast("int")]
+    return rows.select(level.alias("level"), *keys, *MOMENTS)
+
+
+def merge_moments(tables: Sequence[DataFrame]) -> DataFrame:
+    """One table of moments of the rows of several."""
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    keys = [c for c in out.columns if c not in MOMENTS]
+    return out.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in MOMENTS])
+
+
+def metrics_of(moments: DataFrame, level: str, by: Sequence[str]) -> DataFrame:
+    """The metrics of one level, averaged over the horizons, from its moments; as ``metrics_per_id`` and its like have them."""
+    by = list(by)
+    rows = moments.filter(F.col("level") == level)
+    n = F.col("n_errors")
+    rows = rows.select(
+        *by, "h", "n", "sum_y", (F.col("sum_square") / n).alias("mse"), (F.col("sum_abs") / n).alias("mae"), (F.col("sum_share") / n * 100).alias("mape")
+    )
+    group = Window.partitionBy(*(by or [F.lit(0)]))  # one row per horizon of a group
+    mean = F.sum("sum_y").over(group) / F.sum("n").over(group)
+    rows = rows.withColumns({"avg_diff": mean, "rmse": F.sqrt("mse")}).withColumn("nrmse", F.col("rmse") / F.col("avg_diff"))
+    return metrics_mean_horizon(rows, by)
+
+
 def metrics_scaled(pred_scaled: DataFrame) -> DataFrame:
     """MSE and MAE over all horizons in scaled units, before the inverse transform."""
     error = F.col("y") - F.col("y_hat")
