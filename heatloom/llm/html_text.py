@@ -4,9 +4,12 @@ A page is read tag by tag into text blocks, each with its tag path from the root
 belong to the block around them). Per tag path, text length, punctuation marks, link text and blocks are added up; its ratio
 is mean length times (1 + mean punctuation) times the share of text outside of links. The ratios in page order are smoothed by
 a Gaussian kernel and fused per path (mean over the path's blocks); paths at or above the standard deviation of the smoothed
-sequence are content. The main element is the deepest container that holds nearly all content, or the ``article`` or
-``main`` around it; the text is all of its blocks but those in menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments, which tags, roles and class names tell.
+sequence are content.
+
+What decides the text: blocks in menus, headers, footers, sidebars, notices, adverts, forms and reader comments, as tags, roles and names tell
+(``_side_kind``), are left out first. Of the rest the chosen paths decide. If ``article`` elements hold half of the chosen text or more, the text is
+all blocks of those with a chosen block, in page order; else the same for ``main``; else the root is the lowest container of all chosen blocks, and the text is all
+blocks in it but parts of it that are mostly links, and the blocks that stand directly in the containers around it (headings, first and last paragraphs).
 
 Defined results: a null, empty or text-free page has the empty text; text without any tag is one block; an unclosed tag, comment or
 script runs to the end of what it is in; repeated rows are each reported; an empty table gives an empty table. Only
@@ -24,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIGMA, REACH, HOLDS = 1.0, 2, 0.9
+SIGMA, REACH = 1.0, 2
+#: Share of the text that a part beside the main text can not have; share of links that makes a part a menu.
+TOO_MUCH, LINKS = 0.5, 0.6
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,32 +56,46 @@ SIDE_NAMES = frozenset(
     "disqus reply replies respond breadcrumb breadcrumbs pagination pager login search widget toolbar skip copyright legal".split()
 )
 NEGATIONS = frozenset("has with no without show hide".split())
+# Words of these that also begin or end names of content.
+SOFT_NAMES = frozenset("header rail banner notice overlay share social related reply respond search skip copyright legal".split())
+COMMENT_NAMES = frozenset("comment comments disqus reply replies respond".split())
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?=[\s/]|$))", re.IGNORECASE)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？·]")
 
 
-def _is_side(tag: str, attributes: dict[str, str], inside_main: bool) -> bool:
+NOT_SIDE, SOFT, NAMED, COMMENTS, SIDE = range(5)
+
+
+def _side_kind(tag: str, attributes: dict[str, str], inside_main: bool) -> int:
+    """Whether an element is beside the main text: ``SIDE`` by its tag or role; ``NAMED`` and ``COMMENTS`` if one of its names is in the list or begins or
+    ends with a word of it; ``SOFT`` if that word is common in names of content as well."""
     if tag in SIDE_TAGS and not (tag == "header" and inside_main):
-        return True
+        return SIDE
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "") in SIDE_ROLES:
-        return True
+        return SIDE
     if tag in ("html", "body", "main", "article"):
-        return False
+        return NOT_SIDE
+    kind = NOT_SIDE
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
         parts = re.split(r"[-_]+", name)
-        if parts[0] not in NEGATIONS and not SIDE_NAMES.isdisjoint(parts):
-            return True
-    return False
+        if parts[0] in NEGATIONS:
+            continue
+        found = {name} & SIDE_NAMES or {parts[0], parts[-1]} & SIDE_NAMES
+        if found & COMMENT_NAMES and (name in found or found - SOFT_NAMES):
+            return COMMENTS
+        if found:
+            kind = max(kind, SOFT if name not in found and found <= SOFT_NAMES else NAMED)
+    return kind
 
 
 class Page:
     """Elements and text blocks of one page."""
 
     def __init__(self, source: str):
-        # elements: tag, parent, path number, whether beside the main text
-        self.tag, self.parent, self.path, self.side = ["#root"], [-1], [0], [False]
+        # elements: tag, parent, path number, in what way beside the main text
+        self.tag, self.parent, self.path, self.side = ["#root"], [-1], [0], [NOT_SIDE]
         self.paths: dict[tuple[int, str], int] = {}
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self.stack = [0]
@@ -107,7 +126,7 @@ class Page:
         self.tag.append(tag)
         self.parent.append(up)
         self.path.append(self.paths.setdefault((self.path[up], label), len(self.paths) + 1))
-        self.side.append(self.side[up] or (tag not in INLINE or "class" in found) and _is_side(tag, found, inside_main))
+        self.side.append(_side_kind(tag, found, inside_main) if tag not in INLINE or "class" in found else NOT_SIDE)
         self.stack.append(len(self.tag) - 1)
         self.open[tag] = self.open.get(tag, 0) + 1
 
@@ -224,44 +243,75 @@ class Page:
             s[1] += x
         mean = sum(smooth) / len(smooth)
         limit = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
-        best = max(x / k for k, x in fused.values())
-        chosen = {p for p, (k, x) in fused.items() if x / k >= min(limit, best)}
+        text = {p for p, (_, chars, _, linked) in sums.items() if linked <= LINKS * chars} or set(sums)  # links are none, whatever is next to them
+        best = max(fused[p][1] / fused[p][0] for p in text)
+        chosen = {p for p in text if fused[p][1] / fused[p][0] >= min(limit, best)}
         return [self.path[e] in chosen for e, _, _ in blocks]
 
+    def inherited(self, mark: list[bool]) -> list[bool]:
+        """Whether an element or one around it is marked."""
+        out = list(mark)
+        for e in range(1, len(out)):  # children stand behind their parents
+            out[e] = out[e] or out[self.parent[e]]
+        return out
+
+    def sums(self, blocks: list[tuple[int, str, int]], of: list[int]) -> list[int]:
+        """The numbers ``of`` blocks added up in each element."""
+        out = [0] * len(self.tag)
+        for (e, _, _), n in zip(blocks, of, strict=True):
+            out[e] += n
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+    def beside(self) -> list[bool]:
+        """Elements beside the main text. A named part that holds much of the text is not; nor is a soft one with a paragraph as rich as others."""
+        hard = self.inherited([k == SIDE for k in self.side])
+        blocks = [b for b in self.blocks if not hard[b[0]]]
+        chars = self.sums(blocks, [len(t) for _, t, _ in blocks])
+        large = [n > TOO_MUCH * chars[0] for n in chars]
+        marked = self.inherited([t in ("article", "main") for t in self.tag])
+        own = self.sums(blocks, [len(t) * marked[e] for e, t, _ in blocks])
+        if own[0]:  # an article, however short, is the text rather than what stands beside it
+            large = [x and (marked[e] or own[e] > 0) for e, x in enumerate(large)]
+        named = self.inherited([h or k == COMMENTS or k == NAMED and not x for h, k, x in zip(hard, self.side, large, strict=True)])
+        rest = [b for b in blocks if not named[b[0]]]
+        if not rest:
+            return hard
+        rich = [len(t) * (1 + len(PUNCTUATION.findall(t))) * (1 - linked / len(t)) for _, t, linked in rest]
+        usual = sum(r * len(t) for r, (_, t, _) in zip(rich, rest, strict=True)) / sum(len(t) for _, t, _ in rest) / 2
+        good = self.sums(rest, [r >= usual for r in rich])
+        return self.inherited([x or k == SOFT and not g for x, k, g in zip(named, self.side, good, strict=True)])
+
+    def container(self, e: int) -> int:
+        while e and self.tag[e] not in CONTAINER:
+            e = self.parent[e]
+        return e
+
     def main_text(self) -> str:
-        blocks = [b for b in self.blocks if not self.side[b[0]]]
+        side = self.beside()
+        blocks = [b for b in self.blocks if not side[b[0]]]
         if not blocks:
             return ""
-        weight = [0] * len(self.tag)
-        total = 0
-        for (e, text, _), chosen in zip(blocks, self.content(blocks), strict=True):
-            if chosen:
-                weight[e] += len(text)
-                total += len(text)
-        best: dict[int, int] = {}  # heaviest child
-        for e in range(len(weight) - 1, 0, -1):  # children stand behind their parents
-            up = self.parent[e]
-            weight[up] += weight[e]
-            if self.tag[e] in CONTAINER or self.tag[e] in INLINE or self.tag[e] not in ("p", "li"):
-                if up not in best or weight[e] >= weight[best[up]]:
-                    best[up] = e
-        root = at = 0
-        while at in best and weight[best[at]] >= HOLDS * total:
-            at = best[at]
-            if self.tag[at] in CONTAINER:
-                root = at
-        up = root
-        while up > 0:
-            if self.tag[up] in ("article", "main"):
-                root = up
-                if self.tag[up] == "article":
-                    break
-            up = self.parent[up]
-        inside = [False] * len(self.tag)
-        inside[root] = True
-        for e in range(root + 1, len(self.tag)):
-            inside[e] = inside[self.parent[e]]
-        return "\n".join(text for e, text, _ in blocks if inside[e])
+        chosen = self.content(blocks)
+        weight = self.sums(blocks, [len(t) * c for (_, t, _), c in zip(blocks, chosen, strict=True)])
+        for tag in ("article", "main"):
+            roots = [t == tag and w > 0 for t, w in zip(self.tag, weight, strict=True)]
+            inside = self.inherited(roots)
+            if 2 * sum(len(t) for (e, t, _), c in zip(blocks, chosen, strict=True) if c and inside[e]) >= weight[0]:
+                return "\n".join(t for e, t, _ in blocks if inside[e])
+        root = 0
+        for e in range(1, len(self.tag)):  # the lowest container that holds all
+            if weight[e] == weight[0] and self.tag[e] in CONTAINER:
+                root = e
+        around, at = {root}, root
+        while at > 0:
+            at = self.parent[at]
+            around.add(at)
+        chars, links = self.sums(blocks, [len(t) for _, t, _ in blocks]), self.sums(blocks, [k for _, _, k in blocks])
+        menu = self.inherited([e != root and not w and links[e] > LINKS * chars[e] for e, w in enumerate(weight)])
+        inside = self.inherited([e == root for e in range(len(self.tag))])
+        return "\n".join(t for e, t, _ in blocks if not menu[e] and (inside[e] or self.container(e) in around))
 
 
 def main_text(source: str | None) -> str:
