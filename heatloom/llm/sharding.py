@@ -1,20 +1,21 @@
 """Shards that match the mixture: proportional stratified interleaving, DataFrame functions only.
 
-Rows of each source are ranked in a seeded random order. A row's fractional rank (rank - 1/2) / rows of the source says how
-far through its source it is; sorted by it, all sources run out evenly, and a cut into equal parts gives every shard its share of
-every source, within one row or two, and row counts that are at most one apart (law ``rows``).
+Rows of each source are ranked in a seeded random order. A row's fractional rank (rank + start) / rows of the source, with ranks from 0 and
+a start between 0 and 1 that a hash gives each source, says how far through its source it is; sorted by it, all sources run out evenly, and a
+cut into equal parts gives every shard its share of every source, within one row or two, and row counts that are at most one apart (law ``rows``).
+The starts keep rows of the same rank in many small sources (hosts with one page) apart, which would share one key otherwise.
 
 Neither the ranks nor the sort put a source or the table into one task: rows are dealt to buckets of equal key ranges, only
 counts of buckets are added up, and a bucket of some thousand rows is ordered by itself (see ``order.positions``).
 
 Defined results: a null text has no bytes; a null source is a source of its own; repeated rows get places next to each
-other in the order of their source, in any order among themselves; an empty table gives an empty table. Only ``doc_id``, ``text`` and ``source``
-are read.
+other in the order of their source, in any order among themselves; texts of any length count whole; an empty table gives an empty table. Only ``doc_id``,
+``text`` and ``source`` are read, so other columns can have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatloom.functions.tables import materialize
@@ -23,6 +24,12 @@ from heatloom.llm.order import positions
 SHARDS, SEED, ROW_BYTES = 24, 11, 8
 
 
+def fractional_rank(seed: int = SEED) -> Column:
+    """How far through its source a row is, from its ``source_rank`` and the number of rows ``of_source``."""
+    start = (F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    return (F.col("source_rank") + start) / F.col("of_source")
+
+
 def interleaved(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row per document: ``doc_id``, ``source``, ``size``, ``text_crc32``, ``source_rank``, ``shard``, ``slot`` in the shard."""
     text = F.coalesce("text", F.lit(""))
@@ -40,8 +47,7 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Data
     sizes = rows.groupBy("source").agg(F.count("*").alias("of_source"))
     ranked = positions(rows, ["source"], key, -(2.0**63), 2.0**63, total, ties, "source_rank")
     ranked = ranked.alias("r").join(sizes.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.of_source")
-    share = (2 * F.col("source_rank") + 1) / (2 * F.col("of_source"))
-    placed = positions(ranked, [], share, 0.0, 1.0, total, ["source", "source_rank"], "place")
+    placed = positions(ranked, [], fractional_rank(seed), 0.0, 1.0, total, ["source", "source_rank"], "place")
     # whole numbers only, so that no rounding moves a border
     shard = F.expr(f"cast(place * {shards} div {max(1, total)} as int)")
     first = f"((shard * {total}L + {shards - 1}) div {shards})"

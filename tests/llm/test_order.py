@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heatloom.llm import mixing as M
@@ -65,6 +66,16 @@ def test_shards_of_skewed_sources(spark, monkeypatch, fan):
     assert sorted((key(r), r.shard, r.slot) for r in got) == sorted((key(r), r.shard, r.slot) for r in again)
 
 
+def test_many_sources_of_one_row(spark):
+    """Rows of small sources spread over all keys: no bucket holds twice the mean, and shards stay even."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.concat(F.lit("host"), (F.col("id") - F.col("id") % F.when(F.col("id") < 4000, 2).otherwise(1)).cast("string")).alias("source"))
+    ranked = docs.withColumns({"source_rank": F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1, "of_source": F.count("*").over(Window.partitionBy("source"))})
+    sizes = [r["count"] for r in ranked.groupBy(F.floor(S.fractional_rank() * 64)).count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 2 * 20_000 / 64
+    got = S.sharding_report(docs).collect()
+    assert sorted(Counter(r.shard for r in got).values()) == [833] * 16 + [834] * 8
+
+
 def test_shards_of_small_table(spark):
     docs = small(spark)
     check_shards([(r.doc_id, r.text, r.source) for r in docs.collect()], S.sharding_report(docs).collect(), 24)
