@@ -16,6 +16,9 @@ samples    position in ``high`` of every ``SAMPLE``-th set bit (32 bits each), f
 About ``2 + log2(ids / documents)`` bits a document take the place of a 64-bit offset table. Blocks close at
 ``BLOCK_IDS`` ids; a longer document has a block of its own.
 
+Defined results: a null or empty text has its end id only; a null doc_id is kept and comes first; repeated rows are stored each; texts of any
+length are encoded whole; an empty table gives an empty store and no rows. Only the id, the text and the columns of the order are read.
+
 Tokens: white space is dropped by the tokenizer's pattern and nothing it matches reaches across it, so words are
 encoded once each and looked up after that, see ``Encoder``.
 """
@@ -319,10 +322,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, order: list[str] | N
 
 
 def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest of every document of every block, found through its Elias-Fano boundaries."""
+    """Digest of every document of every block, whose end the select structure of the block gives."""
     for batch in batches:
         for r in batch.to_pylist():
-            ends = ef_decode(r["low_bits"], r["low"], r["high"], r["n_docs"])
+            ends = np.array([ef_select(r["low_bits"], r["low"], r["high"], r["samples"], i) for i in range(r["n_docs"])], np.int64)
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             ids = np.frombuffer(r["ids"], "<u2" if r["width"] == 2 else "<u4").astype("<u4")
             data = memoryview(ids).cast("B")
