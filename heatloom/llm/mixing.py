@@ -4,14 +4,15 @@ Each source is cut into blocks of ``BLOCK_ROWS`` documents, in a seeded order. W
 (from 1) may not start before slot floor((j - 1) / w) and has to be done by slot ceil(j / w); one block runs in each
 slot, always the released one with the earliest deadline. Weights are exact fractions that add up to one, so that the load
 is one and every deadline is met: after any number of slots each source is less than one block off its target share, however
-long the schedule is. The driver lays out all blocks, one step and one row of 40 bytes for each ``BLOCK_ROWS`` documents.
+long the schedule is. The driver lays out the blocks, one step and one row of 40 bytes for each: blocks grow with the table where
+there would be more than ``MOST_BLOCKS`` of them, so what the driver does and sends is bounded but for one row a source.
 
 Every document is placed exactly once: none is dropped, none repeated. When a source has run out, its later slots stay
 empty and the other sources keep their order and proportions.
 
 Defined results: a null source is a source of its own; repeated rows are placed one after the other; a source without a
 given weight, or with a weight of zero or less, gets the least share (one in ``UNITS``, or in ``UNITS_EACH`` for each source), and
-the others divide the rest by their weights; an empty table gives an empty table.
+the others divide the rest by their weights; texts of any length count as one row; an empty table gives an empty table.
 Only ``doc_id``, ``source`` and (to tell rows with one id apart) ``text`` are read; other columns pass through.
 """
 
@@ -33,7 +34,7 @@ from heatloom.llm.order import positions
 from heatloom.llm.places import PLACE
 from heatloom.llm.places import placed as placed_rows
 
-BLOCK_ROWS, SEED = 64, 17
+BLOCK_ROWS, MOST_BLOCKS, SEED = 64, 1 << 18, 17
 #: The least share is one in so many, or in so many for each source; target weights grow as this power of a source's size.
 UNITS, UNITS_EACH, POWER = 1000, 20, 0.7
 REPORTED = 1 << 40
@@ -116,6 +117,7 @@ def schedule(docs: DataFrame, names: list[str], weights: dict[str | None, float]
         )
     )
     size = {r.source: r["count"] for r in rows.groupBy("source").count().collect()}
+    block_rows = max(block_rows, -(-sum(size.values()) // MOST_BLOCKS))
     given = weights if weights is not None else default_weights(size)
     target = targets({k: given.get(k, 0.0) for k in size}) if size else {}
     load = units({k: float(w) for k, w in target.items()}, REPORTED) if size else {}
@@ -128,7 +130,7 @@ def schedule(docs: DataFrame, names: list[str], weights: dict[str | None, float]
     with_units = ranked.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("u_source"))).drop("u_source")  # a row for each source
     same = F.col("a.source").eqNullSafe(F.col("b.b_source")) & (F.col("a.block") == F.col("b.b_block"))
     placed = with_units.alias("a").join(spark.createDataFrame(slots).alias("b"), same)
-    return placed.select("a.row.*", "a.source", "a.rank", "a.block", "a.weight", "a.units", "b.release", "b.deadline", "b.slot")
+    return placed.select("a.row.*", "a.source", "a.rank", "a.block", "a.weight", "a.units", "b.release", "b.deadline", "b.slot", F.expr(f"a.rank % {block_rows}").alias("row_in_block"))
 
 
 def _slots(target: dict[str | None, Fraction], blocks: dict[str | None, int]) -> pa.Table:
@@ -157,5 +159,5 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
 def mixing_report(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per document: its source with its target share, block, the slots it may run in and the one it got, and its place in the block."""
     return schedule(docs, ["doc_id"], weights, block_rows).select(
-        "doc_id", "source", "weight", "units", "block", "release", "deadline", "slot", F.expr(f"rank % {block_rows}").alias("row_in_block")
+        "doc_id", "source", "weight", "units", "block", "release", "deadline", "slot", "row_in_block"
     )
