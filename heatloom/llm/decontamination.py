@@ -14,7 +14,8 @@ Words are runs of ASCII letters and digits and of all non-ASCII characters, afte
 
 Defined results: a null or empty text has no words and is never contaminated; an item without words has no
 window; items with a null id count under the name 'null'; items with the same id are one item; an empty benchmark
-contaminates nothing; repeated documents are each reported. Other columns are not read.
+contaminates nothing; repeated documents are each reported; an empty table gives an empty table; texts and items of any length are read
+whole. Other columns are not read, so they can have any name.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ them. The template table has one row for each template word; Spark broadcasts it
 Words are runs of ASCII letters and digits and of all non-ASCII characters, after A-Z became lower case.
 
 Defined results: a null or empty text has no words, no places, empty labels and score 0; repeated rows are each
-reported, an empty table gives an empty table. Other columns than ``doc_id`` and ``text`` are not read.
+reported, an empty table gives an empty table; texts of any length are read whole. Other columns than ``doc_id`` and ``text`` are not
+read, so they can have any name; a null doc_id is reported like any other.
 """
 
 from __future__ import annotations

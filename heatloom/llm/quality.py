@@ -7,8 +7,8 @@ the nearer quartile of its own group, and beyond a least distance (``SLACK``, ``
 groups without any spread. A group of fewer than ``LEAST_ROWS`` documents uses the sketch of its language, then of all.
 
 Defined results: a null text counts as empty, which has no words and fails; a null language or source is a group
-like any other (the one named ''); repeated rows are measured and counted as often as they occur; an empty table
-gives an empty table. Only ``text``, ``lang`` and ``source`` are read; other columns, whatever their names, pass through.
+like any other (the one named ''); repeated rows are measured and counted as often as they occur; texts of any length
+are measured whole; an empty table gives an empty table. Only ``text``, ``lang`` and ``source`` are read; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
