@@ -5,9 +5,9 @@ document's vector of these entries and the item's 0/1 vector.
 
 1. Items come in blocks of bounded text. One scan counts, for each document, all its terms and those of the block. The numbers of
    documents and terms and the document frequencies are added up by Spark over all documents.
-2. Documents are put into ball trees, some thousand in each: a node has the mean of its vectors as centre and the largest distance
+2. Documents are put into ball trees, some hundred in each: a node has the mean of its vectors as centre and the largest distance
    from it as radius, and is cut in two at the median of the direction between two far vectors; a leaf has up to ``LEAF`` documents with their
-   entries as integers. An index row is one whole tree, so trees are spread over the cluster and read one at a time.
+   entries as integers. A task grows its trees from the stored counts one after the other and searches each before the next one.
 3. No document of a node scores more for an item q than q.centre + |q| radius (Cauchy-Schwarz). Vectors are scaled place by place before
    (an item by the reciprocal), which changes no product and makes the bound tight where places vary much. Documents are nearly orthogonal,
    so the one radius of a ball is hardly smaller than a document is long, and an item has a few of its places only; each node therefore has a
@@ -33,7 +33,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
@@ -42,13 +41,11 @@ from heatloom.functions.tables import materialize
 from heatloom.llm.text import NOT_ALNUM, chunks, lowered_table, strings, words
 
 TOP, LEAF = 10, 32
-#: Bytes of item text in a block; entries of the table that a tree is grown from; trees, one a task, that give the first lower bounds; lists merged in one step.
-BLOCK_BYTES, GROWN, FIRST_TREES, FAN = 1 << 20, 1 << 23, 64, 64
+#: Bytes of item text in a block; entries of the table that a tree is grown from, and its documents at most; trees, one a task, that give the first lower bounds; lists merged in one step.
+BLOCK_BYTES, GROWN, TREE_ROWS, FIRST_TREES, FAN = 1 << 20, 1 << 21, 1024, 64, 64
 #: Least bound of all errors: entries are rounded to 24 bits (6e-8), sums of a million places to less than 1e-9.
 UP = 1 + 1e-6
 _TABLE = lowered_table(NOT_ALNUM)
-TREE = "first boolean, docs array<bigint>, columns binary, starts binary, terms binary, entries binary, nodes binary, centres binary, radii binary, wides binary"
-
 
 def item_terms(texts: list[str | None]) -> list[list[str]]:
     """The distinct terms of each text, in alphabetical order."""
@@ -127,6 +124,15 @@ class Tree:
     wides: np.ndarray  # how far a place goes above the centre
 
 
+def distances(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Of each row from ``point``, a few rows at a time."""
+    out = np.empty(len(rows))
+    for a in range(0, len(rows), 64):
+        d = rows[a : a + 64].astype(np.float64) - point
+        out[a : a + 64] = np.sqrt(np.einsum("ij,ij->i", d, d))
+    return out
+
+
 def grow(rows: np.ndarray, leaf: int = LEAF) -> Tree:
     """A tree over the scaled vectors ``rows``."""
     order = np.arange(len(rows))
@@ -136,15 +142,16 @@ def grow(rows: np.ndarray, leaf: int = LEAF) -> Tree:
         me = len(nodes)
         mine = rows[order[a:b]]
         centre = mine.mean(0, dtype=np.float64).astype(np.float32)
-        away = np.sqrt(((mine - centre).astype(np.float64) ** 2).sum(1))
+        away = distances(mine, centre)
         nodes.append([a, b, -1, -1])
         centres.append(centre)
         radii.append(float(away.max()) * UP)
         wides.append(((mine.max(0).astype(np.float64) - centre) * UP).astype(np.float32))
         if b - a > leaf and away.max() > 0:
             far = mine[int(away.argmax())]
-            other = mine[int(((mine - far) ** 2).sum(1).argmax())]
+            other = mine[int(distances(mine, far).argmax())]
             order[a:b] = order[a:b][np.argsort(mine @ (other - far), kind="stable")]
+            del mine
             nodes[me][2], nodes[me][3] = make(a, (a + b) // 2), make((a + b) // 2, b)
         return me
 
@@ -152,88 +159,75 @@ def grow(rows: np.ndarray, leaf: int = LEAF) -> Tree:
     return Tree(order, np.array(nodes, np.int64), np.array(centres, np.float32), np.array(radii), np.maximum(np.array(wides), 0))
 
 
-def _tree_rows(doc_ids: pa.Array, starts: np.ndarray, terms: np.ndarray, entries: np.ndarray, scale: np.ndarray) -> Iterator[list[pa.Array]]:
-    """Trees over runs of documents whose table has at most ``GROWN`` entries."""
+@dataclass
+class Indexed:
+    """A tree with its documents: ids, and entries by leaf after leaf."""
+
+    tree: Tree
+    doc_ids: list[int | None]
+    columns: np.ndarray  # term of each column
+    starts: np.ndarray
+    terms: np.ndarray  # column of each entry
+    entries: np.ndarray
+
+    def bounds(self, places: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """What no document of a node exceeds, for an item with terms in these columns."""
+        t = self.tree
+        beyond = np.minimum(np.sqrt((scale * scale).sum()) * UP * t.radii, t.wides[:, places].astype(np.float64) @ scale)
+        return (t.centres[:, places].astype(np.float64) @ scale + beyond) * UP + 1
+
+    def leaf(self, node: int, wanted: np.ndarray) -> np.ndarray:
+        """Exact scores of the documents of a node."""
+        a, b = self.tree.nodes[node, :2]
+        cut = slice(self.starts[a], self.starts[b])
+        return np.add.reduceat(np.where(wanted[self.terms[cut]], self.entries[cut], 0), self.starts[a:b] - self.starts[a])
+
+
+def indexed(doc_ids: list[int | None], starts: np.ndarray, terms: np.ndarray, entries: np.ndarray, scale: np.ndarray) -> Iterator[Indexed]:
+    """Trees over runs of documents whose table has at most ``GROWN`` entries; each document has an entry."""
     n = len(starts) - 1
     columns, local = np.unique(terms, return_inverse=True)
     if n > LEAF and n * len(columns) > GROWN:
         half = n // 2
         for a, b in ((0, half), (half, n)):
             cut = slice(starts[a], starts[b])
-            yield from _tree_rows(doc_ids.slice(a, b - a), starts[a : b + 1] - starts[a], terms[cut], entries[cut], scale)
+            yield from indexed(doc_ids[a:b], starts[a : b + 1] - starts[a], terms[cut], entries[cut], scale)
         return
     rows = np.zeros((n, len(columns)), np.float32)
     rows[np.repeat(np.arange(n), np.diff(starts)), local] = entries / scale[terms]
     tree = grow(rows)
+    del rows
     size = np.diff(starts)[tree.docs]
     begin = np.cumsum(size) - size
     take = np.repeat(starts[tree.docs] - begin, size) + np.arange(len(terms))
-    parts = [
-        columns.astype(np.int64), np.append(begin, len(terms)).astype(np.int64), local[take].astype(np.int32), entries[take].astype(np.int64), tree.nodes, tree.centres, tree.radii, tree.wides
-    ]
-    docs = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), doc_ids.take(pa.array(tree.docs)))
-    yield [docs, *[pa.array([p.tobytes()], pa.binary()) for p in parts]]
-
-
-def _planter(collection: Collection, batch_rows: int = 4096):
-    def plant(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        first = TaskContext.get().partitionId() < FIRST_TREES
-
-        def trees() -> Iterator[pa.RecordBatch]:
-            nonlocal first
-            table = pa.Table.from_batches(held).combine_chunks()
-            lists = table.column("terms").combine_chunks()
-            size = pc.list_value_length(lists).to_numpy().astype(np.int64)
-            starts = np.append(0, np.cumsum(size))
-            term, tf = lists.flatten().to_numpy(), table.column("tf").combine_chunks().flatten().to_numpy()
-            entries = collection.entries(np.repeat(table.column("n").to_numpy(), size), tf, term)
-            for tree in _tree_rows(table.column("doc_id").combine_chunks(), starts, term, entries, collection.scale):
-                yield pa.RecordBatch.from_arrays([pa.array([first]), *tree], names=[x.split()[0] for x in TREE.split(", ")])
-                first = False
+    yield Indexed(tree, [doc_ids[i] for i in tree.docs.tolist()], columns, np.append(begin, len(terms)), local[take], entries[take])
 
-        for batch in batches:
-            for a in range(0, batch.num_rows, batch_rows):
-                held.append(batch.slice(a, batch_rows))
-                if sum(x.num_rows for x in held) >= batch_rows:
-                    yield from trees()
-                    held.clear()
-        if sum(x.num_rows for x in held):
-            yield from trees()
 
-    return plant
+def trees(batches: Iterable[pa.RecordBatch], collection: Collection, batch_rows: int = TREE_ROWS) -> Iterator[Indexed]:
+    """The index of a run of counted documents; every one with a term of the block is in one tree."""
+    held: list[pa.RecordBatch] = []
 
+    def grown() -> Iterator[Indexed]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        lists = table.column("terms").combine_chunks()
+        size = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        term, tf = lists.flatten().to_numpy(), table.column("tf").combine_chunks().flatten().to_numpy()
+        entries = collection.entries(np.repeat(table.column("n").to_numpy(), size), tf, term)
+        yield from indexed(table.column("doc_id").to_pylist(), np.append(0, np.cumsum(size)), term, entries, collection.scale)
 
-def build_index(profiles: DataFrame, collection: Collection) -> DataFrame:
-    """One row per tree; every document with a term of the block is in one."""
-    return materialize(profiles.where(F.size("terms") > 0).mapInArrow(_planter(collection), TREE))
+    for batch in batches:
+        for a in range(0, batch.num_rows, batch_rows):
+            held.append(batch.slice(a, batch_rows))
+            if sum(x.num_rows for x in held) >= batch_rows:
+                yield from grown()
+                held.clear()
+    if sum(x.num_rows for x in held):
+        yield from grown()
 
 
 # ---------------------------------------------------------------- search
 
 
-class Searched:
-    """A tree as it is read from the index."""
-
-    def __init__(self, row: dict):
-        read = lambda name, kind: np.frombuffer(row[name], kind)
-        self.docs = row["docs"]
-        self.columns, self.starts, self.terms, self.entries = read("columns", np.int64), read("starts", np.int64), read("terms", np.int32), read("entries", np.int64)
-        self.nodes, self.radii = read("nodes", np.int64).reshape(-1, 4), read("radii", np.float64)
-        self.centres, self.wides = (read(x, np.float32).reshape(len(self.nodes), -1) for x in ("centres", "wides"))
-
-    def bounds(self, places: np.ndarray, scale: np.ndarray) -> np.ndarray:
-        """What no document of a node exceeds, for an item with terms in these columns."""
-        beyond = np.minimum(np.sqrt((scale * scale).sum()) * UP * self.radii, self.wides[:, places].astype(np.float64) @ scale)
-        return (self.centres[:, places].astype(np.float64) @ scale + beyond) * UP + 1
-
-    def leaf(self, node: int, wanted: np.ndarray) -> np.ndarray:
-        """Exact scores of the documents of a node."""
-        a, b = self.nodes[node, :2]
-        cut = slice(self.starts[a], self.starts[b])
-        return np.add.reduceat(np.where(wanted[self.terms[cut]], self.entries[cut], 0), self.starts[a:b] - self.starts[a])
-
-
 def _place(doc: int | None) -> tuple[bool, int]:
     return (doc is None, doc or 0)
 
@@ -258,39 +252,40 @@ class Best:
             heapq.heapreplace(self.heap, entry)
 
 
-def _searcher(items: list[np.ndarray], collection: Collection, floors: list[int], top: int, one_leaf: bool = False):
+def _searcher(items: list[np.ndarray], collection: Collection, floors: list[int], top: int, first_leaves: bool = False):
+    """Searches all trees, or only the best leaf for each item in the first tree of the task."""
+
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [Best(top, x) for x in floors]
-        for batch in batches:
-            for k in range(batch.num_rows):
-                tree = Searched({name: batch.column(name)[k].as_py() for name in batch.schema.names})
-                place = np.full(len(collection.weight), -1)
-                place[tree.columns] = np.arange(len(tree.columns))
-                wanted = np.zeros(len(tree.columns), bool)
-                for mine, terms in zip(best, items, strict=True):
-                    there = terms[place[terms] >= 0]
-                    if not len(there):
+        for number, one in enumerate(trees(batches, collection)):
+            if first_leaves and number:
+                continue
+            place = np.full(len(collection.weight), -1)
+            place[one.columns] = np.arange(len(one.columns))
+            wanted = np.zeros(len(one.columns), bool)
+            for mine, terms in zip(best, items, strict=True):
+                there = terms[place[terms] >= 0]
+                if not len(there):
+                    continue
+                at = place[there]
+                wanted[at] = True
+                bound = one.bounds(at, collection.scale[there])
+                queue = [(-bound[0], 0)]
+                while queue:
+                    below, node = heapq.heappop(queue)
+                    if -below < mine.least():
+                        break
+                    first, _, left, right = one.tree.nodes[node].tolist()
+                    if left >= 0:
+                        for child in (left, right):
+                            heapq.heappush(queue, (-bound[child], child))
                         continue
-                    at = place[there]
-                    wanted[at] = True
-                    bound = tree.bounds(at, collection.scale[there])
-                    queue = [(-bound[0], 0)]
-                    while queue:
-                        below, node = heapq.heappop(queue)
-                        if -below < mine.least():
-                            break
-                        left, right = tree.nodes[node, 2:].tolist()
-                        if left >= 0:
-                            for child in (left, right):
-                                heapq.heappush(queue, (-bound[child], child))
-                            continue
-                        scores = tree.leaf(node, wanted)
-                        first = int(tree.nodes[node, 0])
-                        for i in np.flatnonzero((scores >= mine.least()) & (scores > 0)).tolist():
-                            mine.offer(int(scores[i]), tree.docs[first + i])
-                        if one_leaf:
-                            break
-                    wanted[at] = False
+                    scores = one.leaf(node, wanted)
+                    for i in np.flatnonzero((scores >= mine.least()) & (scores > 0)).tolist():
+                        mine.offer(int(scores[i]), one.doc_ids[first + i])
+                    if first_leaves:
+                        break
+                wanted[at] = False
         rows = [(i, score, -number if there else None) for i, b in enumerate(best) for score, there, number in b.heap]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["item", "score", "doc_id"]
@@ -318,12 +313,13 @@ def search_block(docs: DataFrame, items: list[list[str]], top: int = TOP) -> Dat
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profiles = materialize(rows.mapInArrow(_profiler(vocabulary), "doc_id bigint, n bigint, terms array<int>, tf array<bigint>"))
     collection = Collection.of(profiles, len(vocabulary))
-    index = build_index(profiles, collection)
+    counted = profiles.where(F.size("terms") > 0)
     floors = [0] * len(items)
-    first = _best_of(index.where("first").drop("first").mapInArrow(_searcher(ids, collection, floors, top, one_leaf=True), HIT), top)
+    some = counted.where(F.spark_partition_id() < FIRST_TREES)  # whichever they are, the scores only save work
+    first = _best_of(some.mapInArrow(_searcher(ids, collection, floors, top, first_leaves=True), HIT), top)
     for r in first.where(F.col("rank") == top).collect():  # at most one row an item of the block
         floors[r["item"]] = r["score"]
-    found = materialize(index.drop("first").mapInArrow(_searcher(ids, collection, floors, top), HIT))
+    found = materialize(counted.mapInArrow(_searcher(ids, collection, floors, top), HIT))
     return _best_of(found, top)
 
 

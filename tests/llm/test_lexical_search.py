@@ -76,7 +76,7 @@ def test_small(spark):
     assert got(L.ranked(small(spark), bench(spark, items))) == plain_ranked(docs, items)
 
 
-@pytest.mark.parametrize("grown", [1 << 23, 1 << 15], ids=["one-tree", "small-trees"])
+@pytest.mark.parametrize("grown", [1 << 23, 1 << 15], ids=["large-trees", "small-trees"])
 def test_many(spark, monkeypatch, grown):
     monkeypatch.setattr(L, "GROWN", grown)
     rows, items = many()
@@ -99,32 +99,29 @@ def planted(rows, items):
 
 def test_bounds_hold_and_prune():
     """No document exceeds the bound of a node above it, and most leaves are never looked at."""
-    import pyarrow as pa
-
-    rows, items = many(1500)
+    rows, items = many(700)
     vocabulary, number, counts, n, c = planted(rows, items)
     lists = [sorted((number[t], k) for t, k in cnt.items() if t in number) for cnt in counts]
     keep = [i for i, x in enumerate(lists) if x]
     starts = np.append(0, np.cumsum([len(lists[i]) for i in keep]))
     terms, tf = np.array([t for i in keep for t, _ in lists[i]]), np.array([k for i in keep for _, k in lists[i]])
     entries = c.entries(np.repeat(n[keep], np.diff(starts)), tf, terms)
-    (row,) = L._tree_rows(pa.array(keep, pa.int64()), starts, terms, entries, c.scale)
-    names = [x.split()[0] for x in L.TREE.split(", ")][1:]
-    tree = L.Searched({name: a[0].as_py() for name, a in zip(names, row, strict=True)})
-    assert sorted(tree.docs) == keep
+    (one,) = L.indexed(keep, starts, terms, entries, c.scale)
+    tree = one.tree
+    assert sorted(one.doc_ids) == keep
     place = np.full(len(vocabulary), -1)
-    place[tree.columns] = np.arange(len(tree.columns))
+    place[one.columns] = np.arange(len(one.columns))
     looked = whole = 0
     for _, text in items:
         ids = np.array(sorted({number[t] for t in plain_terms(text)}))
         at = place[ids[place[ids] >= 0]]
-        wanted = np.zeros(len(tree.columns), bool)
+        wanted = np.zeros(len(one.columns), bool)
         wanted[at] = True
-        bound = tree.bounds(at, c.scale[ids[place[ids] >= 0]])
-        scores = np.zeros(len(tree.docs), np.int64)
+        bound = one.bounds(at, c.scale[ids[place[ids] >= 0]])
+        scores = np.zeros(len(one.doc_ids), np.int64)
         for node, (a, b, left, _) in enumerate(tree.nodes.tolist()):
             if left < 0:
-                scores[a:b] = tree.leaf(node, wanted)
+                scores[a:b] = one.leaf(node, wanted)
         least = np.sort(scores)[-10]
         for node, (a, b, left, _) in enumerate(tree.nodes.tolist()):
             assert scores[a:b].max() <= bound[node]
