@@ -56,6 +56,8 @@ def quantiles(
     spread = ["_v"] if spread is None else [spread] if isinstance(spread, str) else list(spread)
     value = F.col(col).cast("double")
     firsts = df.groupBy(*by).agg(*_brackets(value, probs, accuracy), *[c.alias(name) for name, c in (also or {}).items()])
+    if also:  # used twice
+        firsts = materialize(firsts)
     extra = [c for c in spread if c not in (*by, "_v")]
     rows = df.select(*by, *extra, value.alias("_v")).filter(F.col("_v").isNotNull())
     if not by:
@@ -89,7 +91,7 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], me
         F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("_n"), F.col(f"_edges{i}").alias("_edges"), *[F.col(f"_a{i}_{name}").alias(name) for name in also])
         for i, c in enumerate(cols)
     ]
-    firsts = one.select(F.inline(F.array(*rows)))
+    firsts = materialize(one.select(F.inline(F.array(*rows))))  # used twice
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("_v")) for c in cols])).alias("_r")).select("_r.*")
     marked = long.filter(F.col("_v").isNotNull()).join(F.broadcast(firsts.select("column", "_n", "_edges")), "column")  # a row per column
     found = _selected(marked, ["column"], probs, method).drop("n")
@@ -118,16 +120,18 @@ def _selected(marked: DataFrame, keys: list[str], probs: dict[str, float], metho
         zone = zone + (v > low).cast("int") + (v > high).cast("int")
         edge = edge | (v == low) | (v == high)
     # a bracket is cut into cells of equal width; an edge is the largest value of its zone
-    below = F.array_max(F.filter("_edges", lambda e: e < v))
-    above = F.array_min(F.filter("_edges", lambda e: e > v))
+    edges = [F.col("_edges")[i] for i in range(2 * len(names))]
+    nearest = lambda side, pick: pick(*[F.when(side(e), e) for e in edges])
+    below, above = nearest(lambda e: e < v, F.greatest), nearest(lambda e: e > v, F.least)
     cell = F.when(edge, F.lit(CELLS + 1)).otherwise(F.floor((v - below) / (above - below) * F.lit(CELLS)).cast("int"))
     place = [*keys, "_zone", "_cell"]
     counted = (
         marked.groupBy(
-            *keys, "_n", zone.alias("_zone"), F.when(inside, F.coalesce(cell, F.lit(0))).otherwise(-1).alias("_cell"), F.when(inside, v).alias("_exact")
+            *keys, "_n", F.coalesce(zone, F.lit(0)).alias("_zone"), F.when(inside, F.coalesce(cell, F.lit(0))).otherwise(-1).alias("_cell"), F.when(inside, v).alias("_exact")
         )
         .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
+    # zone and cell are never null, so that both uses of the counts below are one plan and share its shuffle
     # running counts over the cells of a group, whose number is bounded, then over the values of one cell
     cells = counted.groupBy(*place).agg(F.sum("_c").alias("_in"), F.min("_lo").alias("_least"), F.max("_hi").alias("_most"))
     order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_zone", "_cell")

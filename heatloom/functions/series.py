@@ -75,12 +75,13 @@ class Series:
             raise ValueError(f"series need a session in UTC, where days have 24 hours; this one is in {zone}")
         return df.withColumn(SLICE, F.floor(self.epoch() / F.lit(self.seconds * self.points)).cast("long"))
 
-    def laid_out(self, df: DataFrame) -> DataFrame:
+    def laid_out(self, df: DataFrame, dealt: bool = False) -> DataFrame:
         """``df`` stored by series and slice, in time order, with its slice as a column that operators keep.
 
-        Windows inside slices and the joins of seams then take the rows where they lie: what follows shuffles seams, never rows.
+        Windows inside slices and the joins of seams then take the rows where they lie: what follows shuffles seams, never rows. Rows that come
+        from a window inside slices are ``dealt`` out like that already.
         """
-        return store_buckets(self.sliced(df), [self.id, SLICE], [self.id, SLICE, self.time])
+        return store_buckets(self.sliced(df), [self.id, SLICE], [self.id, SLICE, self.time], dealt=dealt)
 
     def spread_over(self, df: DataFrame) -> list[str]:
         """Columns that tell where in a series a row is."""

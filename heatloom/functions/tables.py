@@ -79,18 +79,19 @@ def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, before)
 
 
-def store_buckets(df: DataFrame, keys: list[str], order: list[str], buckets: int | None = None) -> DataFrame:
+def store_buckets(df: DataFrame, keys: list[str], order: list[str], buckets: int | None = None, dealt: bool = False) -> DataFrame:
     """``df`` stored in the shared folder in ``buckets`` files by a hash of ``keys``, each sorted by ``order``.
 
     Spark knows how such a table is dealt out, so windows, aggregates and joins by ``keys`` do not shuffle its rows. The number of buckets
-    is that of shuffle partitions if none is given. The table is deleted like other stored tables.
+    is that of shuffle partitions if none is given. ``dealt`` rows come from a shuffle by ``keys`` into as many partitions already and are not
+    shuffled again. The table is deleted like other stored tables.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions")) if buckets is None else buckets
     path = new_path(spark)
     name = f"stored_{path.rsplit('/', 1)[-1]}"
     with _shuffles_removed(spark):
-        dealt = df.repartition(n, *keys).sortWithinPartitions(*order)
-        dealt.write.bucketBy(n, *keys).sortBy(*order).format("parquet").option("path", path).saveAsTable(name)
+        rows = df if dealt else df.repartition(n, *keys)
+        rows.write.bucketBy(n, *keys).sortBy(*order).format("parquet").option("path", path).saveAsTable(name)
     _TABLES[path] = name
     return spark.table(name)

@@ -22,7 +22,7 @@ COLUMNS = ["id", "datetime", "diff", "value", "source"]
 
 
 def _basic(df: DataFrame, s: Series, flat_lines: int | None) -> DataFrame:
-    df = drop_reconnect_spikes(s.laid_out(drop_negative(df)), s)
+    df = s.laid_out(drop_reconnect_spikes(s.sliced(drop_negative(df)), s), dealt=True)
     return drop_flat_lines(iqr_filter(df, s), s, flat_lines)
 
 
@@ -36,14 +36,20 @@ def clean_interpolated(
 ) -> DataFrame:
     """Basic cleaning, split at long gaps, fill short ones, clean again, split at what that removed.
 
-    No consumption is negative in the result; the query fails if one is. Two tables are stored: the rows, and the parts after the
-    split, whose ids are new.
+    No consumption is negative in the result; the query fails if one is. Three tables are stored one after the other, each deleted when the
+    next is there: the rows without negatives and first readings after gaps, those of the basic cleaning (both written where they lie, without a
+    shuffle of their own), and the filled parts, whose ids and rows are new.
     """
     min_gap = SPLIT_GAP[s.step] if min_gap is None else min_gap
     since = stored_paths()
-    parts = s.laid_out(split_at_gaps(_basic(df, s, flat_lines), s, min_gap))
-    drop_stored(df.sparkSession, [p for p in stored_paths()[:-1] if p not in since])
-    df = drop_positive_jumps(drop_negative(interpolate_linear(parts, s)), s)
-    df = split_at_gaps(df, s, 1).drop(SLICE)
+
+    def next_table(rows: DataFrame, dealt: bool = False) -> DataFrame:
+        out = s.laid_out(rows, dealt)
+        drop_stored(out.sparkSession, [p for p in stored_paths()[:-1] if p not in since])
+        return out
+
+    df = next_table(_basic(df, s, flat_lines), dealt=True)
+    df = next_table(drop_negative(interpolate_linear(split_at_gaps(df, s, min_gap), s)))
+    df = split_at_gaps(drop_positive_jumps(df, s), s, 1).drop(SLICE)
     bad = F.raise_error(F.lit("negative consumption after cleaning")).cast("double")
     return df.withColumn("diff", F.when(F.col("diff") < 0, bad).otherwise(F.col("diff")))

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # call sites of column expressions are not needed and slow plans of many expressions down
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # compiled code of long plans is kept from one run to the next; the default holds less than one chain needs
+    "spark.sql.codegen.cache.maxEntries": "2000",
     # keep window and aggregate operators from hiding a skewed join from AQE
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }

@@ -75,14 +75,14 @@ def test_steps_shuffle_seams_only(shuffled, step):
     assert rows_of(out.drop(SLICE)) == rows_of(step(df).select(*out.drop(SLICE).columns))
 
 
-def test_chains_store_two_tables(spark):
+def test_chains_keep_one_table(spark):
     df = random_series(spark, ids=10, days=50)
     before = stored_paths()
     chains.clean_basic(df, DAILY, 4).collect()
     assert len(stored_paths()) - len(before) == 1
     before = stored_paths()
     chains.clean_interpolated(df.filter("diff IS NOT NULL AND value IS NOT NULL"), DAILY, 4, 7).collect()
-    assert len(stored_paths()) - len(before) == 1  # the first of two is gone
+    assert len(stored_paths()) - len(before) == 1  # each goes when the next is there
 
 
 def test_buckets_are_dropped(spark):
