@@ -10,13 +10,16 @@ Offsets of more than one row use ``neighbours``: rows are numbered, cut into run
 each run gets copies of the rows next to it.
 
 A series has one row per id and time, so a slice holds at most ``points`` rows; where rows meet their neighbours a repeated time
-is an error, as is a session outside UTC. ``id`` is never null.
+is an error, as is a session in a time zone whose days do not all have 24 hours. ``id`` is never null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
+from functools import lru_cache
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -26,7 +29,16 @@ from heatloom.functions.tables import store_buckets
 
 SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
 SLICE = "_slice"
-UTC = ("UTC", "Z", "GMT", "Etc/UTC", "+00:00")
+
+
+@lru_cache
+def even_days(zone: str) -> bool:
+    """Whether the offset of a time zone never changes; names that are no region are offsets."""
+    try:
+        region = ZoneInfo(zone)
+    except (ZoneInfoNotFoundError, ValueError):
+        return True
+    return len({datetime(y, m, 1, tzinfo=region).utcoffset() for y in range(1990, 2040) for m in range(1, 13)}) == 1
 
 
 @dataclass(frozen=True)
@@ -71,8 +83,8 @@ class Series:
         if SLICE in df.columns:  # laid out already
             return df
         zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
-        if zone not in UTC:
-            raise ValueError(f"series need a session in UTC, where days have 24 hours; this one is in {zone}")
+        if not even_days(zone):
+            raise ValueError(f"series need days of 24 hours, as in UTC; this session is in {zone}")
         return df.withColumn(SLICE, F.floor(self.epoch() / F.lit(self.seconds * self.points)).cast("long"))
 
     def laid_out(self, df: DataFrame, dealt: bool = False) -> DataFrame:
