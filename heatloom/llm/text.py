@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,3 +70,10 @@ def words(buf: np.ndarray, off: np.ndarray, table: bytes) -> tuple[np.ndarray, n
 def strings(data: np.ndarray, borders: np.ndarray) -> pa.Array:
     """The words as an Arrow array, without a copy."""
     return pa.LargeStringArray.from_buffers(len(borders) - 1, pa.py_buffer(np.ascontiguousarray(borders)), pa.py_buffer(data))
+
+
+def release() -> None:
+    """Gives back to the system what a batch has used: workers live on and would hold it beside the next stage's memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
