@@ -1,7 +1,10 @@
 """Joins that carry values or need every key listed."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from heatloom.functions.skew import is_small, seems_small, spread_join
+from heatloom.functions.tables import materialize
 from heatloom.operators import joins
 
 
@@ -21,3 +24,18 @@ def test_a_place_that_is_not_listed_fails(spark):
     assert sorted(r["day"] for r in joins.reorder_by_permutation(rows, perm).collect()) == [0, 0, 2]
     with pytest.raises(Exception, match="no day is listed for position 2"):
         joins.reorder_by_permutation(rows.unionByName(spark.createDataFrame([(2,)], "position int")), perm).collect()
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_many_rows_in_small_files_are_not_broadcast(spark, how):
+    """A table of 300 000 rows in some KB is joined by shuffles on whichever side it stands; one of a few rows is broadcast."""
+    many = materialize(spark.range(300_000).select("id", (F.col("id") % 7).alias("a"), F.lit("text").alias("b"), F.lit("more").alias("c")))
+    assert seems_small(many) and not is_small(many) and is_small(many.limit(5))
+    rows = materialize(spark.range(300_000).select("id", F.lit("row").alias("r")))
+    out = spread_join(rows, many, "id", how, by="r")
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 300_000 and out.where("a = id % 7 AND b = 'text'").count() == 300_000
+    meta = materialize(spark.range(300_000).select("id", F.concat(F.lit("s"), "id").alias("address")))
+    lod = meta.select("address", F.lit(1.0).alias("heated_area"), F.lit("x").alias("id"))
+    out = joins.join_meta_lod(meta, lod)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 300_000
