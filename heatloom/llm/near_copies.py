@@ -2,7 +2,8 @@
 
 1. Texts with the same set of shingles are one node. Each node has ``BANDS`` keys, every one made of the least values of its
    shingles under ``ROWS`` hash functions. Two nodes of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS: at 0.8 all
-   but 3 in a million pairs do, above it more. This is the only step that is not exact.
+   but 3 in a million pairs do, above it more. One key more comes from the fingerprint trees of ``simhash``: nodes whose fingerprints
+   are connected by links of at most ``DISTANCE`` bits share it. These keys only decide who meets; this is the only step that is not exact.
 2. In each bucket of nodes with the same key all are compared with its leader, the one that meets most others in all its buckets: of
    edited copies of one text, the text itself or the least edited copy. That joins most of a group by one link a node. Then each bucket that still
    holds several components takes a leader by chance, so that a copy meets several members of a large component.
@@ -15,7 +16,7 @@
 What is left of the square: versions of one text that are all just below the limit to each other and to every leader pass the signatures and
 are verified pair by pair.
 
-Fingerprints of 64 bits can not do this: among pairs that reach 0.8 they differ in up to 11 bits, and trees prune nothing there.
+Fingerprints of 64 bits can not do this alone: among pairs that reach 0.8 they differ in up to 11 bits, and trees prune nothing there.
 
 Defined results: texts without words and null texts have the same, empty set; fewer words than a shingle are one shingle; a null
 doc_id counts as larger than all; equal texts are one node; texts of any length are read whole; an empty table gives an empty table; other
@@ -36,8 +37,9 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructType
 
 from heatloom.functions.tables import materialize
+from heatloom.llm import simhash
 from heatloom.llm.places import PLACE, placed
-from heatloom.llm.simhash import SEED, shingle_hashes, stars
+from heatloom.llm.simhash import SEED, fingerprint, shingle_hashes, stars
 from heatloom.llm.text import release
 
 #: Words of a shingle, and the similarity as a fraction (0.8).
@@ -201,12 +203,21 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.unionAll(_verified(pairs.join(tried, ["u", "v"], "left_anti"), sets))
 
 
+def with_trees(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with one more key in ``bands``, that of the component of their fingerprint ``fp`` in the trees of ``simhash``."""
+    distinct = materialize(nodes.where("n > 0").select("fp").distinct())
+    root = stars(simhash.links(nodes.sparkSession, distinct)).withColumnRenamed("u", "fp")
+    key = F.xxhash64(F.lit("trees"), F.coalesce("root", "fp"))
+    bands = F.when(F.col("n") > 0, F.array_union("bands", F.array(key))).otherwise(F.col("bands"))
+    return materialize(nodes.join(root, "fp", "left").withColumn("bands", bands).drop("fp", "root"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without near copies and, of each component, the row with the smallest doc_id; all columns of ``docs``."""
     rows = placed(docs)
-    marked = materialize(rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), sketch("row.text").alias("s"), *PLACE).select("doc_id", "s.*", *PLACE))
+    marked = materialize(rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), sketch("row.text").alias("s"), fingerprint("row.text").alias("fp"), *PLACE).select("doc_id", "s.*", "fp", *PLACE))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *PLACE)
-    nodes = materialize(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(key).alias("first")))
+    nodes = with_trees(materialize(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp"), F.min(key).alias("first"))))
     root = stars(links(rows, nodes)).withColumnRenamed("u", "node")
     least = nodes.select("node", "first").join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return rows.join(least.select(*[F.col(f"first.{c}").alias(c) for c in PLACE]), PLACE, "left_semi").select("row.*")

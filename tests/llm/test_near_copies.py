@@ -142,3 +142,14 @@ def band_keys(h):
 
 def test_empty(spark):
     assert N.one_of_each(empty_docs(spark)).collect() == []
+
+
+def test_fingerprint_trees_let_copies_meet(spark, monkeypatch):
+    """Without any other key, near copies whose fingerprints the trees link are found by the stage; far ones with near fingerprints are not."""
+    monkeypatch.setattr(N, "sketch", lambda text: N.F.struct(N.F.xxhash64(text).alias("node"), N.F.size(N.F.split(text, " ")).cast("long").alias("n"), N.F.array().cast("array<bigint>").alias("bands")))
+    base = [f"w{i}" for i in range(400)]
+    other = [f"v{i}" for i in range(400)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base, "end"])), (2, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert plain_kept(rows) == Counter([0, 2])
+    assert Counter(r.doc_id for r in P.STAGES[1][1](spark, docs, FOLDER).collect()) == Counter([0, 2])
