@@ -39,3 +39,29 @@ def test_many_rows_in_small_files_are_not_broadcast(spark, how):
     lod = meta.select("address", F.lit(1.0).alias("heated_area"), F.lit("x").alias("id"))
     out = joins.join_meta_lod(meta, lod)
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 300_000
+
+
+def test_no_broadcast_grows_with_the_rows(spark):
+    """Neither a high threshold nor files that tell little let many rows of a dimension or a seam be broadcast; few rows are."""
+    from heatloom import DAILY
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    many = materialize(spark.range(300_000).select("id", F.lit("text").alias("b")))
+    rows = materialize(spark.range(300_000).select("id", F.lit("row").alias("r")))
+    days = spark.range(200_000).select(F.col("id").cast("string"), F.expr("timestamp_ntz'2024-01-01'").alias("datetime"), F.lit(1.0).alias("diff"))
+    days = materialize(days)
+    try:
+        spark.conf.set(key, "1g")
+        assert not is_small(many) and is_small(many.limit(5))
+        out = spread_join(rows, many, "id", "inner", by="r")
+        assert "BroadcastHashJoin" not in plan(out) and out.where("b = 'text'").count() == 300_000
+        spark.conf.set(key, before)
+        assert seems_small(days)
+        out = DAILY.running_sum(days, "diff", "sum")
+        assert "BroadcastHashJoin" not in plan(out) and out.where("sum = 1").count() == 200_000
+        params = materialize(spark.range(90_000).select(F.col("id").cast("string").alias("base_id"), F.rand(1).alias("a"), F.rand(2).alias("b")))
+        assert seems_small(params) and not is_small(params)  # 12.6 MB in a hash table
+    finally:
+        spark.conf.set(key, before)
