@@ -149,3 +149,71 @@ def test_weights_and_map_are_learned_from_all_training_words(spark):
     model, want, _, _ = caught[0]
     assert np.allclose(model.weights, want.weights, atol=1e-5) and np.allclose(model.refined, want.refined, atol=1e-5)
     assert not np.allclose(model.weights, np.tile(np.array(C.START), (64, 1)), atol=1e-2)
+
+
+def in_order():
+    """Texts over few words, three that are the same, and one with the words of these in another order; the last two are held out."""
+    out = [i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 7 == 2]
+    line = "one word after another in an order that is kept by all of them"
+    rows = [(i, " ".join(f"w{(j * (i % 5 + 1) + i % 3) % 40}" for j in range(i % 31)), "en") for i in range(140)]
+    return [*rows, *[(i, line, "fr") for i in (1000, 1001, 1002, out[0])], (out[1], " ".join(sorted(line.split())), "fr")], out
+
+
+def test_words_before_count(spark, monkeypatch):
+    """Counts of contexts, weights and scores are those of a plain version; the order of the words matters."""
+    rows, out = in_order()
+    caught = []
+    learn = C.context_weights
+
+    def weights(tokens, n_train):
+        caught.append((tokens.collect(), learn(tokens, n_train)))
+        return caught[0][1]
+
+    monkeypatch.setattr(C, "context_weights", weights)
+    monkeypatch.setattr(C, "GROUP", 100)
+    monkeypatch.setattr(C, "HOT_WORDS", 10)
+    got = {r.doc_id: r for r in C.scores(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = {i: ["<", "<", *t.split(), ">"] for i, t, _ in rows}
+    seen = collections.Counter(tuple(t[k - d : k + e]) for i, t in tokens.items() if not held(i) for k in range(2, len(t)) for d, e in ((1, 0), (1, 1), (2, 1)))
+    found = {r.doc_id: r for r in caught[0][0]}
+    assert found.keys() == tokens.keys()
+    facts = {}
+    for i, t in tokens.items():
+        want = [[seen[tuple(t[k - 1 : k + 1])], seen[t[k - 1],], seen[tuple(t[k - 2 : k + 1])], seen[tuple(t[k - 2 : k])]] for k in range(2, len(t))]
+        want[0][3] = sum(not held(x) for x in tokens)
+        assert [list(x) for x in zip(found[i].c1, found[i].n1, found[i].c2, strict=True)] == [x[:3] for x in want]
+        facts[i] = [(*x, s) for x, s in zip(want, found[i].spelled, strict=True)]
+
+    gate = lambda n: 1 + min(int(2 * math.log2(n)), C.GATES - 1) if n > 0 else 0
+
+    def parts(a, c1, n1, c2, n2, s):
+        a1, a2 = a[0][gate(n1)], a[1][gate(n2)]
+        return (1 - a2) * (1 - a1) * 10**s, (1 - a2) * a1 * c1 / max(n1, 1), a2 * c2 / max(n2, 1)
+
+    a = [[0, *[C.SHARE] * C.GATES] for _ in range(2)]
+    for _ in range(C.PASSES):
+        sums = np.zeros((2, 2, C.GATES + 1))
+        for i in tokens:
+            for c1, n1, c2, n2, s in facts[i] if not held(i) else []:
+                p = parts(a, c1 - 1, n1 - 1, c2 - 1, n2 - 1, s)
+                sums[0, :, gate(n1 - 1)] += p[1] / sum(p), 1 - p[2] / sum(p)
+                sums[1, :, gate(n2 - 1)] += p[2] / sum(p), 1
+        a = [[0, *[min(0.999, (sums[k, 0, g] + C.HELD * C.SHARE) / (sums[k, 1, g] + C.HELD)) for g in range(1, C.GATES + 1)]] for k in range(2)]
+    assert np.allclose(a, caught[0][1], atol=1e-6)
+    for i in tokens:
+        assert abs(sum(math.log10(sum(parts(a, *x))) for x in facts[i]) - got[i].score) < 1e-4
+    same, other = got[out[0]], got[out[1]]
+    assert same.base_score == pytest.approx(other.base_score) and same.score > other.score + 5
+
+
+def test_packed_counts_and_keys():
+    rnd = np.random.default_rng(5)
+    for n in (0, 1, 1000, 70_000):
+        keys = np.unique(rnd.integers(0, 1 << 48, n, dtype=np.uint64) >> np.uint64(rnd.integers(0, 20)))
+        assert (C._unpacked(C._packed(keys)) == keys).all()
+        counts = rnd.integers(0, 300, n).astype(np.float64)
+        counts[: n // 9] = 1e12
+        assert (C._whole(C._short(counts)) == counts).all()
+    keys = np.arange(70_000, dtype=np.uint64)  # more keys with the same upper bits than two bytes count
+    assert (C._unpacked(C._packed(keys)) == keys).all()
